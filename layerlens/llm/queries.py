@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import dedup, licenses, quality
+from layerlens.llm import dedup, licenses, packing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    one = F.col("secrets")
+    return found.select("doc_id", *(one[c].alias(c) for c in ("n_assign", "n_access", "n_hex")), F.sha2(one["base_spans"], 256).alias("base_sha256"), one["spans"].alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.quality_verdicts(documents(spark, sf_dir), metrics=True)
     m = lambda name: F.col("measures")[name]
@@ -38,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op7_quality_rules, op8_license_scan, op10_exact_dedup)}
 
 
 OP7_SQL = r"""
