@@ -130,6 +130,10 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return place, offset, np.asarray(fill, np.int64)
 
 
+def _group_packer(capacity: int, last: bool):
+    return lambda frame: _pack_group(frame, capacity, last)
+
+
 def _pack_group(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
     lengths = frame["length"].to_numpy(np.int64)
@@ -166,7 +170,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
         groups = -(-tokens // group_tokens)
         last = r == rounds - 1 or (r > 0 and groups == 1)
         dealt = current.withColumn("group", F.pmod(F.xxhash64(F.lit(r), *columns), F.lit(groups)).cast("int"))
-        packed = dealt.groupBy("group").applyInPandas(lambda f, last=last: _pack_group(f, capacity, last), schema)
+        packed = dealt.groupBy("group").applyInPandas(_group_packer(capacity, last), schema)
         packed = written(packed, f"packing-{r}")
         number = F.col("bin") + F.col("group").cast("long") * (1 << 24) + F.lit(r) * (1 << 58)
         done.append(packed.where("closed").select(*columns, number.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified")))
