@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import dedup, licenses, packing, quality, secrets
+from layerlens.llm import dedup, licenses, packing, pii, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(one[c].alias(c) for c in ("n_assign", "n_access", "n_hex")), F.sha2(one["base_spans"], 256).alias("base_sha256"), one["spans"].alias("spans"))
 
 
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    base, terms = pii.listed(F.col("base")), pii.listed(F.col("terms"), F.lit("term"))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat(base, F.when((F.size("base") > 0) & (F.size("terms") > 0), ",").otherwise(""), terms).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.quality_verdicts(documents(spark, sf_dir), metrics=True)
     m = lambda name: F.col("measures")[name]
@@ -55,7 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op7_quality_rules, op8_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op5_pii, op7_quality_rules, op8_license_scan, op10_exact_dedup)}
 
 
 OP7_SQL = r"""
