@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import dedup, jaccard, licenses, packing, pii, quality, secrets
+from layerlens.llm import dedup, jaccard, licenses, packing, pii, quality, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,20 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(toxicity.fold() != 0))
+    scored = model.score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup.exact_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_ngram_jaccard_join, op5_pii, op7_quality_rules, op8_license_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_ngram_jaccard_join, op5_pii, op7_quality_rules, op8_license_scan, op9_toxicity, op10_exact_dedup)}
 
 
 OP7_SQL = r"""
