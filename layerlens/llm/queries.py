@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import dedup, jaccard, licenses, packing, pii, quality, secrets, toxicity
+from layerlens.llm import dedup, html, jaccard, licenses, packing, pii, quality, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat(base, F.when((F.size("base") > 0) & (F.size("terms") > 0), ",").otherwise(""), terms).alias("spans"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = html.extract(pages, trees=html.fit(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.quality_verdicts(documents(spark, sf_dir), metrics=True)
     m = lambda name: F.col("measures")[name]
@@ -77,7 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_ngram_jaccard_join, op5_pii, op7_quality_rules, op8_license_scan, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_ngram_jaccard_join, op5_pii, op6_html_extraction, op7_quality_rules, op8_license_scan, op9_toxicity, op10_exact_dedup)}
 
 
 OP7_SQL = r"""
