@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm import dedup, html, jaccard, licenses, packing, pii, quality, secrets, toxicity
+from layerlens.llm import dedup, html, jaccard, licenses, packing, pii, quality, secrets, subwords, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(one[c].alias(c) for c in ("n_assign", "n_access", "n_hex")), F.sha2(one["base_spans"], 256).alias("base_sha256"), one["spans"].alias("spans"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = subwords.encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return coded.select("doc_id", *(F.col("pieces")[c].alias(c) for c in ("n_ids", "n_fallback", "ids_crc32", "round_trip")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(documents(spark, sf_dir))
 
@@ -83,7 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_ngram_jaccard_join, op5_pii, op6_html_extraction, op7_quality_rules, op8_license_scan, op9_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_sentencepiece, op4_ngram_jaccard_join, op5_pii, op6_html_extraction, op7_quality_rules, op8_license_scan, op9_toxicity, op10_exact_dedup)}
 
 
 OP7_SQL = r"""
