@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ CAPACITY = 2048
 #: Tokens a packing group aims at: a group is one task's work, so its size doesn't grow with the corpus.
 GROUP_TOKENS = 1 << 20
 ROUNDS = 3
-CACHED_WORDS = 600_000
+CACHED_WORDS = 800_000
 _BETWEEN = "\x01"
 
 
@@ -52,13 +53,30 @@ class WordTokenizer:
                 self.known[part] = raw[start:end]
                 start = end + 4
 
+    def _learn_stemmed(self, parts: set[bytes]) -> None:
+        """A stop or comma after an ASCII letter is a token run of its own, so such a part is its stem's ids and its tail's."""
+        stems, split = set(), []
+        for part in parts:
+            stem = part.rstrip(b".,")
+            if len(stem) < len(part) and stem[-1:].isalpha():
+                split.append((part, stem, part[len(stem) :]))
+            else:
+                stems.add(part)
+        for _, stem, tail in split:
+            stems.update((stem, tail))
+        self._learn([x for x in stems if x not in self.known])
+        known = self.known
+        for part, stem, tail in split:
+            known[part] = known[stem] + known[tail]
+
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        split = [x.encode().split() for x in texts]
-        new = {x for parts in split for x in parts if x not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
+        raw = [x.encode() for x in texts]
+        split = [(x if b"<|" in x else x.lower()).split() for x in raw]  # a special token's string counts as it is written
+        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:
             self.known.clear()
-            new = {x for parts in split for x in parts}
-        self._learn(list(new))
+            new = set(chain.from_iterable(split))
+        self._learn_stemmed(new)
         for parts in split:
             yield b"".join(map(self.known.__getitem__, parts))
 
