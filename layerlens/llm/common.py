@@ -39,7 +39,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often and however deep in lambdas body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def text_of(column: str) -> Column:
