@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from layerlens.llm.common import small_batches, text_of, written
 from layerlens.llm.components import components
 
-#: The default sketch of token frequencies: 2 ** bits counters, a fixed size of 4 MB whatever the corpus.
-SKETCH_BITS = 20
+#: The default sketch of token frequencies: 2 ** bits counters, a fixed size of 16 MB whatever the corpus.
+SKETCH_BITS = 22
+#: Leaders each token's documents are paired with, round by round: the second and later rounds are for what would still give
+#: over PAIRS pairs a posting if it were paired in full.
+LEADERS, PAIRS = (1, 4, 4, 4), 20
+#: So many ids at most are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _BLOCK = 1 << 12
-CACHED_WORDS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
+_TRUE, _ALL = np.array([True]), 0xFFFFFFFFFFFFFFFF
+
+
 def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit; another for each salt."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -28,33 +36,25 @@ def _mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit fingerprints of a text's n-word shingles.
+def shingle_sets(texts: Iterable[str], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit fingerprints of its n-word shingles.
 
     Words are what stands between ASCII white space, with A-Z lowered.  A text of fewer words is one shingle, salted by its
     word count.  Two different shingles of the texts compared share a fingerprint with a chance of 2 ** -64 a pair.
     """
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        new = {x for x in words if x not in known}
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = set(words)
-        for x in new:
-            known[x] = xxhash.xxh3_64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(words))
-        total = np.zeros(len(h) - n + 1, np.uint64)
-        for i in range(n):
-            total += _mixed(h[i : len(h) - n + 1 + i] * _ODD[i % 8] + np.uint64(i + 1))
-        return np.unique(_mixed(total, n))
+    split = [x.encode().lower().split() for x in texts]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, sum(map(len, split)))
+    full = _mixed(sum((h[i : len(h) - n + 1 + i] * _ODD[i] for i in range(n)), np.uint64(n))) if len(h) >= n else h[:0]
+    out, at = [], 0
+    for words in split:
+        k = len(words)
+        if k >= n:
+            s = np.sort(full[at : at + k - n + 1])
+            out.append(s[np.concatenate((_TRUE, s[1:] != s[:-1]))])
+        else:
+            out.append(_mixed(np.array([sum(int(x) * int(o) for x, o in zip(h[at : at + k], _ODD, strict=False)) + k & _ALL], np.uint64)) if k else h[:0])
+        at += k
+    return out
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -67,30 +67,29 @@ def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _ordered(tokens: np.ndarray, frequency: np.ndarray, order: int, bits: int, count: int) -> np.ndarray:
-    """The first count tokens under a global order: 0 by estimated frequency, higher ones by its magnitude; then by a hash."""
-    f = frequency[_cells(tokens, bits)]
+    """The first count of sorted tokens under a global order: 0 ranks by estimated frequency, higher ones by its magnitude;
+    then 40 bits of a hash, then the token itself decide."""
+    f = np.minimum(frequency[_cells(tokens, bits)], (1 << 24) - 1).astype(np.uint64)
     if order:
-        f = np.frexp(f.astype(np.float64))[1]
-    return tokens[np.lexsort((_mixed(tokens, 100 + order), f))[:count]]
+        f = np.frexp(f.astype(np.float64))[1].astype(np.uint64)
+    key = (f << np.uint64(40)) | (_mixed(tokens, 100 + order) >> np.uint64(24))
+    return tokens[np.argsort(key, kind="stable")[:count]]
 
 
 def _sets(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0: id, size and a 128-bit digest of each set; of kind 1: blocks of the partition's frequency sketch."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, counts = Shingler(n), np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         for frame in frames:
-            sizes, digests = [], []
-            for text in frame["text"]:
-                s = shingles(text)
-                np.add.at(counts, _cells(s, bits), 1)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype("Int64"), "size": sizes, "data": digests})
+            sets = shingle_sets(frame["text"], n)
+            counts += np.bincount(_cells(np.concatenate([*sets, np.empty(0, np.uint64)]), bits), minlength=1 << bits).astype(np.uint32)
+            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype("Int64"), "size": [len(s) for s in sets], "data": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
         blocks = counts.reshape(-1, min(_BLOCK, 1 << bits))
         for at in range(0, len(blocks), 64):
             some = [b for b in range(at, min(at + 64, len(blocks))) if blocks[b].any()]
-            yield pd.DataFrame({"kind": 1, "id": pd.array(some, "Int64"), "size": 0, "data": [blocks[b].tobytes() for b in some]})
+            data = [(blocks[b].astype(np.uint8) if blocks[b].max() < 256 else blocks[b]).tobytes() for b in some]
+            yield pd.DataFrame({"kind": 1, "id": pd.array(some, "Int64"), "size": 0, "data": data})
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(build, "kind int, id long, size int, data binary")
@@ -104,28 +103,27 @@ def _frequencies(blocks: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for b, data in zip(frame["id"], frame["data"], strict=True):
-                total[b] = total.get(b, np.zeros(width, np.uint64)) + np.frombuffer(data, np.uint32)
+                total[b] = total.get(b, np.zeros(width, np.uint64)) + np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
         yield pd.DataFrame({"id": pd.Series(list(total), dtype="Int64"), "data": [v.tobytes() for v in total.values()]})
 
     out = np.zeros(1 << bits, np.uint64)
     for r in blocks.select("id", "data").repartition(F.col("id")).mapInPandas(add, "id long, data binary").toLocalIterator():
         out[r.id * width : (r.id + 1) * width] += np.frombuffer(bytes(r.data), np.uint64)
-    return out
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
 def _tokens(rows: DataFrame, n: int, percent: int, bits: int, frequency, whole: bool) -> DataFrame:
     """Of rows (id, text): id, size and the prefix under order 0; or, whole, all tokens and the prefixes under orders 1, 2."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, f = Shingler(n), frequency.value
+        f = frequency.value
         for frame in frames:
             out = []
-            for i, text in zip(frame["id"], frame["text"], strict=True):
-                s = shingles(text)
+            for i, s in zip(frame["id"], shingle_sets(frame["text"], n), strict=True):
                 if not len(s):
                     continue
                 p = prefix_length(len(s), percent)
-                arrays = (s, *(np.sort(_ordered(s, f, k, bits, p)) for k in (1, 2))) if whole else (_ordered(s, f, 0, bits, p),)
+                arrays = (np.sort(s.view(np.int64)), *(_ordered(s, f, k, bits, p) for k in (1, 2))) if whole else (_ordered(s, f, 0, bits, p),)
                 out.append((i, len(s), *(a.view(np.int64) for a in arrays)))
             yield pd.DataFrame(out, columns=["id", "size", *(("tokens", "second", "third") if whole else ("first",))])
 
@@ -142,6 +140,10 @@ def _share(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> bool:
+    return not set(a.tolist()).isdisjoint(b.tolist())
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the filters of the other orders, both of them, and then the threshold itself."""
 
@@ -150,9 +152,11 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
         for frame in frames:
             keep = []
             for a, b, *x in frame[columns].itertuples(index=False):
-                ta, sa, ha, tb, sb, hb = (y.view(np.uint64) for y in x)
-                if _share(sa, sb) and _share(ha, hb):
-                    both = _share(np.sort(ta), np.sort(tb))
+                ta, sa, ha, tb, sb, hb = x
+                need = -(-percent * (len(ta) + len(tb)) // (100 + percent))
+                ka, kb = len(ta) - need + 1, len(tb) - need + 1  # a pair's own prefixes, by what it must share
+                if ka > 0 and kb > 0 and _meet(sa[:ka], sb[:kb]) and _meet(ha[:ka], hb[:kb]):
+                    both = _share(ta, tb)
                     if 100 * both >= percent * (len(ta) + len(tb) - both):
                         keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"])
@@ -161,6 +165,42 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "a long, b long")
 
 
+def _reachable(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
+    """Positional filter, the length filter in it: from a common token on, both sets have tokens enough left.
+
+    The linked sets' first common token passes it; so it may be asked of each common token by itself.
+    """
+    return (100 + percent) * F.least(size_a - at_a, size_b - at_b) >= percent * (size_a + size_b)
+
+
+def _mixed_tokens(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """posts with the documents' labels, of the tokens whose documents have more than one."""
+    labelled = posts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    return labelled.join(mixed, "token", "left_semi")
+
+
+def _stars(rows: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Distinct pairs (leader, document) of different labels that share a token; each token has up to so many leaders.
+
+    A token's leaders are those before whose place for it stand the fewest rarer tokens, one for each value of a hash: of a
+    family of copies, these are the ones with the least of their own, which most others link to.
+    """
+    one = F.struct("at", F.xxhash64("id").alias("h"), "id", "size", "label")
+    lead = [F.min(F.when(F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders)) == k, one)).alias(f"l{k}") for k in range(leaders)]
+    named = rows.groupBy("token").agg(*lead).select("token", F.array_compact(F.array(*(F.col(f"l{k}") for k in range(leaders)))).alias("leads"))
+    met = rows.join(named, "token").select("id", "size", "at", "label", F.explode("leads").alias("lead"))
+    near = met.where((F.col("label") != F.col("lead.label")) & _reachable(F.col("size"), F.col("at"), F.col("lead.size"), F.col("lead.at"), percent))
+    return near.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids: by a broadcast where the counted ids stay under a fixed bound, else by a shuffle."""
+    ids = written(ids, "jaccard-ids")
+    small = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id.
 
@@ -172,8 +212,9 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     its magnitude and then hash.  Linked sets share a token among their first |S| - ceil(t |S|) + 1 under every order: order
     0 proposes pairs, the filters of the other orders are intersected with it, and what is left is verified on whole sets.
     A token's documents are not paired with each other at first: each is paired with one leader, and verified links give
-    components.  Then only pairs of different components that share a token are proposed, so no link is lost and a family
-    of copies never costs its square.
+    components; tokens whose documents are still apart get further leaders while pairing them in full would cost too much.
+    In the end all pairs of different components that share a token are proposed, so no link is lost, and a family of
+    copies, one component by then, doesn't cost its square.
 
     Defined results: null, empty and blank texts have no shingles and link with nothing; rows with a null id get the
     component of their equals that have ids, else null; rows that repeat an id are one document; an empty table gives no
@@ -187,28 +228,36 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
-    first = _tokens(text, n, percent, bits, frequency, whole=False).join(reps, "id", "left_semi")
-    posts = first.select("id", "size", F.explode("first").alias("token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "size")).alias("lead")).where("n > 1")
-    posts = written(posts.join(shared.select("token", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")), "token"), "jaccard-posts")
-
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    member = posts.select("id").distinct()
-    whole = written(_tokens(text.join(member, "id", "left_semi"), n, percent, bits, frequency, whole=True), "jaccard-tokens")
-
-    stars = posts.where((F.col("id") != F.col("lead")) & alike(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_verified(stars, whole, percent), "jaccard-links")
+    first = _tokens(_only(text, reps), n, percent, bits, frequency, whole=False)
+    posts = first.select(F.posexplode("first").alias("at", "token"), "id", "size")
+    n_, sizes, reach = F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.min(F.col("size") - F.col("at")).alias("reach")
+    shared = posts.groupBy("token").agg(n_, sizes, reach).where((F.col("n") > 2) | ((F.col("n") == 2) & ((100 + percent) * F.col("reach") >= percent * F.col("sizes"))))
+    posts = written(posts.join(shared.select("token"), "token", "left_semi"), "jaccard-posts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "jaccard-pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return written(_verified(pairs, written(_tokens(_only(text, ids), n, percent, bits, frequency, whole=True), "jaccard-tokens"), percent), "jaccard-links")
+
+    links = linked(_stars(posts.withColumn("label", F.col("id")), LEADERS[0], percent))
     label = components(links)
-
-    labelled = posts.select("id", "size", "token").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    rest = labelled.join(mixed, "token", "left_semi")
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "label"))) for s in "ab")
-    across = left.join(right, "token").where((F.col("label_a") < F.col("label_b")) & alike(F.col("size_a"), F.col("size_b")))
-    pairs = across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = written(_verified(pairs, whole, percent), "jaccard-links")
-    if more.take(1):
-        label = components(links.unionByName(more))
+    stuck = False
+    for leaders in (*LEADERS[1:], None):
+        rest = written(_mixed_tokens(posts, label), "jaccard-rest")
+        met = rest.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        last = stuck or leaders is None or met[0] is None or met[0] <= PAIRS * met[1]
+        if last:
+            left, right = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "at", "label"))) for s in "ab")
+            across = left.join(right, "token").where((F.col("label_a") < F.col("label_b")) & _reachable(*map(F.col, ("size_a", "at_a", "size_b", "at_b")), percent))
+            new = linked(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+        else:
+            new = linked(_stars(rest, leaders, percent))
+        stuck = not new.take(1)
+        if not stuck:
+            links = links.unionByName(new)
+            label = components(links)
+        if last:
+            break
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = sets.join(named, "digest", "left")
