@@ -69,8 +69,8 @@ def main_header(files: DataFrame) -> DataFrame:
     """One row a file: error (cut off, no magic) or the main header's fields."""
     c = F.col("content")
     magic = F.substring(c, 9, 4) == F.lit(b"DUCK")
-    error = F.when((F.col("size") < BLOCKS_START) & magic, F.concat(F.lit("the file is cut off: it has the magic bytes, but only "), F.col("size").cast("string"), F.lit(" of the 12288 bytes of headers")))
-    error = error.when(F.col("size") < BLOCKS_START, F.concat(F.lit("the file is "), F.col("size").cast("string"), F.lit(" bytes, shorter than 12288 bytes of headers"))).when(~magic, "no magic bytes at offset 8")
+    error = F.when((F.col("size") < BLOCKS_START) & magic, F.concat(F.lit("headers cut off after "), F.col("size").cast("string"), F.lit(" bytes")))
+    error = error.when(F.col("size") < BLOCKS_START, F.concat(F.lit("too short for headers: "), F.col("size").cast("string"), F.lit(" bytes"))).when(~magic, "not a database file: magic missing")
     ok = error.isNull()
     only = lambda x: F.when(ok, x)
     own = checksum_of(F.substring(c, BLOCK_HEADER + 1, HEADER - BLOCK_HEADER))
@@ -107,14 +107,14 @@ def _walk(content: bytes, alloc: int, blocks: int, block: int, index: int, most:
     seen = set()
     while True:
         if (block, index) in seen:
-            return hops, f"loops back to block {block} sub-block {index}"
+            return hops, f"cycle at {block}.{index}"
         if len(hops) >= most:
-            return hops, f"longer than {most} sub-blocks"
+            return hops, f"over {most} hops"
         if block >= blocks or index >= SUB_BLOCKS:
-            return hops, f"points past the file, to block {block} sub-block {index}"
+            return hops, f"pointer {block}.{index} out of range"
         at = _sub_start(alloc, block, index)
         if at + 8 > len(content):
-            return hops, f"block {block} is past the end of the file"
+            return hops, f"pointer {block}.{index} beyond the end"
         seen.add((block, index))
         hops.append((block, index))
         (raw,) = struct.unpack_from("<Q", content, at)
@@ -156,7 +156,7 @@ def block_usage(files: DataFrame) -> DataFrame:
             nonlocal pos
             n = struct.calcsize(form)
             if pos + n > len(data):
-                raise ValueError(error or "metadata chain ended early")
+                raise ValueError(error or "free list incomplete")
             (value,) = struct.unpack_from(form, data, pos)
             pos += n
             return value
@@ -164,12 +164,12 @@ def block_usage(files: DataFrame) -> DataFrame:
         for kind in ("free", "shared"):
             n = take("<Q")
             if n > blocks:
-                raise ValueError(f"free list claims {n} of {blocks} blocks")
+                raise ValueError(f"free list count {n} exceeds {blocks} blocks")
             for _ in range(n):
                 b = take("<q")
                 uses = take("<I") if kind == "shared" else None
                 if not 0 <= b < blocks:
-                    raise ValueError(f"free list names block {b}")
+                    raise ValueError(f"free list entry {b} out of range")
                 yield kind, b, uses
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,14 +230,14 @@ def frames(content: bytes, size: int | None = None) -> tuple[int | None, list[tu
         if fields.get(100) != VERSION or 101 not in fields:
             raise ValueError
     except (struct.error, IndexError, ValueError):
-        return None, [(0, len(content), -1, "unreadable: no WAL version header")]
+        return None, [(0, len(content), -1, "unreadable: log header missing")]
     out: list[tuple[int, int, int, str | None]] = [(0, at, VERSION, None)]
     version = fields[101]
     while version != ENCRYPTED_LOG and at < len(content):
         left = len(content) - at
         if left < 16:
             if not partial:
-                out.append((at, len(content), -1, f"truncated: {left} bytes, fewer than an entry's 16-byte size and checksum"))
+                out.append((at, len(content), -1, f"truncated: {left} bytes left, a frame needs 16"))
             break
         length, stored = struct.unpack_from("<QQ", content, at)
         end = at + 16 + length
@@ -245,15 +245,15 @@ def frames(content: bytes, size: int | None = None) -> tuple[int | None, list[tu
             break
         payload, problem = content[at + 16 : end], None
         if end > len(content):
-            problem = f"truncated: the entry is {length:,} bytes but only {left - 16:,} are in the file"
+            problem = f"truncated: {left - 16} of {length} bytes present"
         elif checksum(payload) != stored:
-            problem = "checksum mismatch: the entry was only partly written or has been corrupted"
+            problem = "checksum mismatch"
         kind = _varint(payload, 2)[0] if len(payload) > 2 and payload[:2] == b"\x64\0" else -1
         out.append((at, min(end, len(content)), kind, problem))
         at = min(end, len(content))
         if problem:
             if at < len(content):
-                out.append((at, len(content), -1, "after a damaged entry, so it is never replayed"))
+                out.append((at, len(content), -1, "behind damage: never replayed"))
             break
     return version, out
 
@@ -283,5 +283,5 @@ def log_transactions(entries: DataFrame) -> DataFrame:
     numbered = logs.transactions(entries, ["file"], "index", commit)
     pending = logs.uncommitted(entries, ["file"], "index", commit).where(F.col("type") != VERSION).select("file", "index", F.lit(True).alias("pending"))
     out = numbered.join(pending, ["file", "index"], "left")
-    lost = F.when(F.col("pending"), "not committed: no COMMIT follows it, so it is discarded on replay")
+    lost = F.when(F.col("pending"), "not committed: dropped on replay")
     return out.withColumn("problems", F.array_compact(F.array("problem", lost))).drop("pending", "problem")
