@@ -76,6 +76,24 @@ def _ordered(tokens: np.ndarray, frequency: np.ndarray, order: int, bits: int, c
     return tokens[np.argsort(key, kind="stable")[:count]]
 
 
+def _block_bytes(counts: np.ndarray) -> bytes:
+    """A block of counters: 4 bytes each, or 1 byte each, or place and count of those that aren't 0, 3 bytes each."""
+    if counts.max() > 255:
+        return counts.tobytes()
+    at = np.flatnonzero(counts)
+    if 3 * len(at) < len(counts):
+        return at.astype("<u2").tobytes() + counts[at].astype(np.uint8).tobytes()
+    return counts.astype(np.uint8).tobytes()
+
+
+def _block_counts(data: bytes, width: int) -> np.ndarray:
+    if len(data) in (width, 4 * width):
+        return np.frombuffer(data, np.uint8 if len(data) == width else np.uint32).astype(np.uint64)
+    n, out = len(data) // 3, np.zeros(width, np.uint64)
+    out[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, np.uint8, n, 2 * n)
+    return out
+
+
 def _sets(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0: id, size and a 128-bit digest of each set; of kind 1: blocks of the partition's frequency sketch."""
 
@@ -88,7 +106,7 @@ def _sets(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> Dat
         blocks = counts.reshape(-1, min(_BLOCK, 1 << bits))
         for at in range(0, len(blocks), 64):
             some = [b for b in range(at, min(at + 64, len(blocks))) if blocks[b].any()]
-            data = [(blocks[b].astype(np.uint8) if blocks[b].max() < 256 else blocks[b]).tobytes() for b in some]
+            data = [_block_bytes(blocks[b]) for b in some]
             yield pd.DataFrame({"kind": 1, "id": pd.array(some, "Int64"), "size": 0, "data": data})
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -103,7 +121,7 @@ def _frequencies(blocks: DataFrame, bits: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for b, data in zip(frame["id"], frame["data"], strict=True):
-                total[b] = total.get(b, np.zeros(width, np.uint64)) + np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
+                total[b] = total.get(b, np.zeros(width, np.uint64)) + _block_counts(data, width)
         yield pd.DataFrame({"id": pd.Series(list(total), dtype="Int64"), "data": [v.tobytes() for v in total.values()]})
 
     out = np.zeros(1 << bits, np.uint64)
