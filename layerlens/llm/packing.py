@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -32,6 +33,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.inner = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         (self.between,) = self.inner.encode(_BETWEEN, add_special_tokens=False).ids
@@ -44,9 +46,10 @@ class WordTokenizer:
         for part in [x for x in parts if mark in x]:
             self.known[part] = self.whole(part.decode())
         parts = [x for x in parts if mark not in x]
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            ids = np.asarray(self.inner.encode(f" {_BETWEEN} ".join(x.decode() for x in some) + f" {_BETWEEN}", add_special_tokens=False).ids, "<u4")
+        groups = [parts[at : at + 500] for at in range(0, len(parts), 500)]
+        joined = [f" {_BETWEEN} ".join(x.decode() for x in some) + f" {_BETWEEN}" for some in groups]
+        for some, coded in zip(groups, self.inner.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.asarray(coded.ids, "<u4")
             ends, raw = (np.flatnonzero(ids == self.between) * 4).tolist(), ids.tobytes()
             start = 0
             for part, end in zip(some, ends, strict=True):
