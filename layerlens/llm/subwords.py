@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from layerlens.llm.common import small_batches, text_of
 
 SPACE = "\u2581"
-CACHED_SEGMENTS, CACHED_PAIRS = 600_000, 1_000_000
+CACHED_SEGMENTS, CACHED_PAIRS = 800_000, 1_000_000
 #: Fixed values of the model file: piece types and model types.
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -78,12 +78,12 @@ class Transducer:
         if charsmap or self.model not in (UNIGRAM, BPE) or not self.escape:
             raise ValueError("only unigram and byte-pair models with the identity normaliser are supported")
         self.id = {t: i for i, t in enumerate(self.text) if self.kind[i] in (NORMAL, USER)}
+        self.packed = {t: struct.pack("<I", i) for t, i in self.id.items()}
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.text) if self.kind[i] == BYTE}
         self.unknown = self.kind.index(UNKNOWN)
-        self.longest = max(map(len, self.id))
         self.rank = {t: self.weight[i] for t, i in self.id.items()}
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.heads = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        self.heads = {p[:k]: False for p in self.id for k in range(1, len(p) + 1)} | dict.fromkeys(self.id, True)
         self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b" \xe2\x81\x87 " if k == UNKNOWN else b"" for t, k in zip(self.text, self.kind, strict=True)]
         alone = "".join(c for c in "\n\t\r|" if not any(c in pair for pair in self.inside))
         #: Cuts that no piece spans: before a run of space marks, and around characters that only stand alone.
@@ -122,43 +122,65 @@ class Transducer:
             ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return ok
 
+    def _ends(self, text: str, i: int) -> list[int]:
+        """Where the arcs from place i end, nearest first; the next character always has one."""
+        heads, out, n = self.heads, [i + 1], len(text)
+        if text[i] in heads:
+            for j in range(i + 2, n + 1):
+                piece = heads.get(text[i:j])
+                if piece is None:
+                    break
+                if piece:
+                    out.append(j)
+        return out
+
     def shortest(self, text: str) -> list[str]:
         """The pieces (or single characters that are none) on the shortest path over text."""
-        n, heads, ids, bpe = len(text), self.heads, self.id, self.model == BPE
-        far = float("inf")
-        cost, last = [0.0] + [far] * n, [""] * (n + 1)
-        for i in range(n):
-            base, before = cost[i], last[i]
-            if base == far:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = text[i:j]
-                if j > i + 1 and piece not in ids:
-                    if piece not in heads:
-                        break
-                    continue
-                step = base + (1.0 if bpe else self.weight[ids[piece]] if piece in ids else max(self.weight) + 10.0)
-                if step < cost[j] and (not bpe or not before or self.adjoin(before, piece)):
-                    cost[j], last[j] = step, piece
-                if j == i + 1 and piece not in heads:
+        return self._only_path(text) if self.model == BPE else self._best_path(text)
+
+    def _only_path(self, text: str) -> list[str]:
+        """Of a byte-pair model: longest arcs first; a place from which no path leads on is closed for good."""
+        n, closed, trail = len(text), bytearray(len(text) + 1), []
+        pos, before, ends = 0, "", self._ends(text, 0)
+        k = len(ends) - 1
+        while True:
+            while k >= 0:
+                end = ends[k]
+                if not closed[end] and (not before or self.adjoin(before, text[pos:end])):
                     break
+                k -= 1
+            if k < 0:
+                closed[pos] = 1
+                pos, before, ends, k = trail.pop()
+                k -= 1
+                continue
+            trail.append((pos, before, ends, k))
+            if end == n:
+                return [text[p : e[i]] for p, _, e, i in trail]
+            before, pos = text[pos:end], end
+            ends = self._ends(text, pos)
+            k = len(ends) - 1
+
+    def _best_path(self, text: str) -> list[str]:
+        n, far, unknown = len(text), float("inf"), max(self.weight) + 10.0
+        cost, last = [0.0] + [far] * n, [0] * (n + 1)
+        for i in range(n):
+            for j in self._ends(text, i):
+                at = self.id.get(text[i:j])
+                step = cost[i] + (unknown if at is None else self.weight[at])
+                if step < cost[j]:
+                    cost[j], last[j] = step, i
         out, at = [], n
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            out.append(text[last[at] : at])
+            at = last[at]
         return out[::-1]
 
     def _ids(self, segment: str) -> bytes:
-        out: list[int] = []
-        for piece in self.shortest(segment):
-            i = self.id.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
-            else:
-                out.append(self.unknown)
-        return np.asarray(out, "<u4").tobytes()
+        return b"".join([self.packed.get(piece) or self._fallback(piece) for piece in self.shortest(segment)])
+
+    def _fallback(self, character: str) -> bytes:
+        return np.asarray([self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown], "<u4").tobytes()
 
     def _learn(self, segment: str) -> bytes:
         stem = segment.rstrip(".,")
