@@ -16,13 +16,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Context of an entity: so many code points to either side, of whose terms the nearest ones count.
-CONTEXT_CHARS, CONTEXT_TERMS = 160, 8
 TERM = r"\p{L}{3,}+"
 #: A term is generalised from this share of an entity's information on, removed from the other; fewer documents are no estimate.
 GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
+_TERMS = "array<struct<start:int,end:int,term:string,disclosure:double>>"
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -73,66 +72,78 @@ def base_spans(text: Column) -> Column:
     return let(text, lambda t: F.concat(F.when(F.contains(t, F.lit("@")), of("email", t)).otherwise(none), F.when(t.rlike("[0-9]"), F.concat(*(of(k, t) for k in KINDS[1:]))).otherwise(none)))
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """array<struct<kind, value, term, start, end>>: the terms nearest to each span, none of which touches a span."""
+def terms_of(text: Column) -> Column:
+    """The distinct terms of text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def side(s: Column, begin: Column, end: Column, nearest_last: bool) -> Column:
-        part = F.substring(text, begin + 1, end - begin)
-        whole = lambda x: (~((x["start"] == 0) & (begin > 0)) if nearest_last else ~((x["end"] == end - begin) & (end < F.length(text))))  # noqa: E731  not cut by the context's edge
-        terms = F.filter(match_spans(part, TERM), whole)
-        near = lambda t: F.slice(t, F.greatest(F.lit(1), F.size(t) - (CONTEXT_TERMS - 1)), F.lit(CONTEXT_TERMS)) if nearest_last else F.slice(t, 1, CONTEXT_TERMS)
-        return F.transform(let(terms, near), lambda x: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.lower(x["value"]).alias("term"), (begin + x["start"]).alias("start"), (begin + x["end"]).alias("end")))
 
-    def around(s: Column) -> Column:
-        left = let(F.greatest(F.lit(0), s["start"] - CONTEXT_CHARS), lambda b: side(s, b, s["start"], True))
-        right = let(F.least(F.length(text), s["end"] + CONTEXT_CHARS), lambda e: side(s, s["end"], e, False))
-        return F.concat(left, right)
+def occurrences(text: Column, told: Column, base: Column) -> Column:
+    """array<struct<start, end, term, disclosure>>: every place of the terms of told (term, disclosure) that touches no span of base."""
+    terms = F.transform(told, lambda x: x["term"])
+    clear = lambda begin, end: ~F.exists(base, lambda b: (b["start"] < end) & (begin < b["end"]))
 
-    clear = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.filter(F.flatten(F.transform(base, around)), clear)
+    def walked(found: Column, gaps: Column, terms: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            def at(p: Column) -> Column:
+                put = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["term"].alias("term"), F.get(told, F.array_position(terms, p["term"]).cast("int") - 1)["disclosure"].alias("disclosure"))
+                hit = F.array_contains(terms, p["term"]) & clear(p["start"], p["end"])
+                return F.struct(p["end"].alias("at"), F.when(hit, F.concat(a["out"], F.array(put))).otherwise(a["out"]).alias("out"))
+
+            start = a["at"] + F.length(F.get(gaps, i))
+            return let(F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.lower(F.get(found, i)).alias("term")), at)
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
+
+    none = F.array().cast(_TERMS)
+    return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda f: F.when(F.size(f) > 0, let(F.split(text, TERM, -1), lambda g: let(terms, lambda t: walked(f, g, t)))).otherwise(none))
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """(kind, value, term, disclosure): terms that disclose at least `generalise` of an entity's information.
+    """(row, term, disclosure): the terms of each row of found that disclose at least `generalise` of one of its entities.
 
     With document frequencies over all of docs: information of entity c is log2(N / df(c)), what term t tells of it is their
-    pointwise mutual information log2(N df(c, t) / (df(c) df(t))), t being near c in df(c, t) documents; disclosure is their
-    ratio, 1 where t never stands without c near it.
+    pointwise mutual information log2(P(t | c) / P(t)), with P(t) = df(t) / N and P(t | c) = df(c, t) / df(c), t
+    standing anywhere in df(c, t) of c's documents; disclosure is their ratio, at most 1.
+
+    As P(t | c) is at most 1, only terms with df(t) <= N^(1 - generalise) df(c)^generalise can reach `generalise`; no others
+    are paired.  Entities that stand in the same documents, told by two sums of hashes, have the same answer and are one.
     """
-    n = docs.count()
-    near = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["term"].alias("term"))))).alias("x"))
-    pair = near.select("x.*").groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support)
-    entity = found.select(F.explode(F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("x.*").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_c"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TERM), F.lit(0)))
-    term = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    held = pair.join(entity, ["kind", "value"]).join(term, "term").where(F.col("df_c") < n)
-    told = F.log2(F.lit(float(n)) * F.col("df_ct") / (F.col("df_c") * F.col("df_t"))) / F.log2(F.lit(float(n)) / F.col("df_c"))
-    return held.select("kind", "value", "term", F.least(F.lit(1.0), told).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    n = float(docs.count())
+    entities = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("row", "x.*")
+    places = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)"))
+    entity = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_c"), places(1).alias("a"), places(2).alias("b"))
+    group = entities.join(entity.where(F.col("df_c") < n), ["kind", "value"]).select("row", "df_c", "a", "b").distinct()
+    term = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    held = found.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(term, "term")
+    rare = F.col("df_t") <= F.pow(F.lit(n), 1 - generalise) * F.pow("df_c", F.lit(generalise)) * (1 + 1e-9)
+    pairs = written(held.join(group, "row").where(rare), "pii-pairs")
+    share = F.col("df_t") / n
+    told = F.log2(F.col("df_ct") / F.col("df_c") / share) / F.log2(n / F.col("df_c"))
+    pair = pairs.groupBy("df_c", "a", "b", "term", "df_t").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support).withColumn("disclosure", F.least(F.lit(1.0), told))
+    hit = pairs.join(pair.where(F.col("disclosure") >= generalise).select("df_c", "a", "b", "term", "disclosure"), ["df_c", "a", "b", "term"])
+    return hit.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """One row per row of docs: id, key, base (spans), terms (spans with their disclosure).
 
-    Base: email, ip, card and phone by fixed patterns.  Method: information-theoretic sanitisation.  Terms near an entity
-    that disclose it, see disclosures(), are found in every document that has the entity near them.
+    Base: email, ip, card and phone by fixed patterns.  Method: information-theoretic sanitisation.  Terms that disclose an
+    entity, see disclosures(), are marked wherever they stand in each document that holds the entity.
 
     Defined results: a null text counts as empty and has no spans; an empty table gives no rows; repeated rows get the same
     answer each; an entity in every document tells nothing, so nothing discloses it; other columns aren't read.
     """
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    none = F.array().cast("array<struct<kind:string,value:string,term:string,start:int,end:int>>")
-    rows = rows.withColumn("contexts", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"))).otherwise(none))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("base", base_spans(F.col("text")))
     key = F.when(F.size("base") > 0, F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text"), 256))
-    found = written(rows.select("id", key.alias("key"), "base", "contexts"), "pii")
+    held = F.when(F.size("base") > 0, F.col("text"))
+    found = written(rows.select("id", key.alias("key"), "base", held.alias("text"), F.monotonically_increasing_id().alias("row")), "pii")
     some, none_found = found.where("key is not null"), found.where("key is null")
 
-    told = disclosures(some, docs, text_col, generalise, support)
-    hit = some.select("key", F.explode("contexts").alias("x")).select("key", "x.*").join(told, ["kind", "value", "term"])
-    best = hit.groupBy("key", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    spans = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "term", "disclosure"))).alias("terms"))
-    empty = F.array().cast("array<struct<start:int,end:int,term:string,disclosure:double>>")
-    out = some.join(spans, "key", "left").select("id", "key", "base", F.coalesce("terms", empty).alias("terms"))
+    told = disclosures(some, docs, text_col, generalise, support).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    empty = F.array().cast(_TERMS)
+    terms = F.when(F.col("told").isNull(), empty).otherwise(occurrences(F.col("text"), F.col("told"), F.col("base")))
+    out = some.join(told, "row", "left").select("id", "key", "base", terms.alias("terms"))
     return out.unionByName(none_found.select("id", "key", "base", empty.alias("terms"))).withColumnRenamed("id", id_col)
 
 

@@ -188,6 +188,15 @@ def test_pii_terms_that_disclose(spark):
     assert "Zanzibor" not in clean and "[EMAIL]" in clean and "weather" in clean
 
 
+def test_pii_terms_far_and_repeated(spark):
+    plain = "the plan about the weather and what one wrote at hand "
+    text = "zq@mail.example " + plain * 20 + "Zanzibor " + plain * 3 + "ZANZIBOR zanzibor@mail.example"
+    rows = [(i, text) for i in range(4)] + [(10 + i, plain) for i in range(60)]
+    got = {r.doc_id: [text[s.start : s.end] for s in r.terms] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["Zanzibor", "ZANZIBOR"] for i in range(4)) and not got[10]
+    assert "zanzibor" not in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first().text.lower()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy now.</div>
 <article><h1>The &amp; title</h1><p>One  two\nthree, and more.<br><p>Second <b>bold</b> part.</article><div class="comments"><p>Nice.</p></div><footer>&copy; me</footer></body></html>"""
 
