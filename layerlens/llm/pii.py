@@ -17,8 +17,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-#: A term is generalised from this share of an entity's information on, removed from the other; fewer documents are no estimate.
-GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
+#: A term is generalised from this share of an entity's information on, removed from the other.
+GENERALISE, REMOVE = 0.8, 0.95
+#: Documents' worth of the corpus mixed into what is counted of an entity: few documents then tell less than many.
+PRIOR = 1.0
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 _TERMS = "array<struct<start:int,end:int,term:string,disclosure:double>>"
@@ -99,12 +101,12 @@ def occurrences(text: Column, told: Column, base: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda f: F.when(F.size(f) > 0, let(F.split(text, TERM, -1), lambda g: let(terms, lambda t: walked(f, g, t)))).otherwise(none))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
     """(row, term, disclosure): the terms of each row of found that disclose at least `generalise` of one of its entities.
 
     With document frequencies over all of docs: information of entity c is log2(N / df(c)), what term t tells of it is their
-    pointwise mutual information log2(P(t | c) / P(t)), with P(t) = df(t) / N and P(t | c) = df(c, t) / df(c), t
-    standing anywhere in df(c, t) of c's documents; disclosure is their ratio, at most 1.
+    pointwise mutual information log2(P(t | c) / P(t)), with P(t) = df(t) / N and P(t | c) = (df(c, t) + prior P(t)) /
+    (df(c) + prior), t standing anywhere in df(c, t) of c's documents; disclosure is their ratio, at most 1.
 
     As P(t | c) is at most 1, only terms with df(t) <= N^(1 - generalise) df(c)^generalise can reach `generalise`; no others
     are paired.  Entities that stand in the same documents, told by two sums of hashes, have the same answer and are one.
@@ -119,13 +121,13 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", gener
     rare = F.col("df_t") <= F.pow(F.lit(n), 1 - generalise) * F.pow("df_c", F.lit(generalise)) * (1 + 1e-9)
     pairs = written(held.join(group, "row").where(rare), "pii-pairs")
     share = F.col("df_t") / n
-    told = F.log2(F.col("df_ct") / F.col("df_c") / share) / F.log2(n / F.col("df_c"))
-    pair = pairs.groupBy("df_c", "a", "b", "term", "df_t").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support).withColumn("disclosure", F.least(F.lit(1.0), told))
+    told = F.log2((F.col("df_ct") + prior * share) / (F.col("df_c") + prior) / share) / F.log2(n / F.col("df_c"))
+    pair = pairs.groupBy("df_c", "a", "b", "term", "df_t").agg(F.count(F.lit(1)).alias("df_ct")).withColumn("disclosure", F.least(F.lit(1.0), told))
     hit = pairs.join(pair.where(F.col("disclosure") >= generalise).select("df_c", "a", "b", "term", "disclosure"), ["df_c", "a", "b", "term"])
     return hit.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
     """One row per row of docs: id, key, base (spans), terms (spans with their disclosure).
 
     Base: email, ip, card and phone by fixed patterns.  Method: information-theoretic sanitisation.  Terms that disclose an
@@ -140,7 +142,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     found = written(rows.select("id", key.alias("key"), "base", held.alias("text"), F.monotonically_increasing_id().alias("row")), "pii")
     some, none_found = found.where("key is not null"), found.where("key is null")
 
-    told = disclosures(some, docs, text_col, generalise, support).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    told = disclosures(some, docs, text_col, generalise, prior).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
     empty = F.array().cast(_TERMS)
     terms = F.when(F.col("told").isNull(), empty).otherwise(occurrences(F.col("text"), F.col("told"), F.col("base")))
     out = some.join(told, "row", "left").select("id", "key", "base", terms.alias("terms"))

@@ -188,6 +188,13 @@ def test_pii_terms_that_disclose(spark):
     assert "Zanzibor" not in clean and "[EMAIL]" in clean and "weather" in clean
 
 
+def test_pii_terms_of_rare_entities(spark):
+    rows = [(0, "Zanzibor Quill wrote at zq@mail.example about the weather")]
+    rows += [(10 + i, f"the plan about the weather or what one wrote at hand {i}") for i in range(60)]
+    got = {r.doc_id: [(s.term, s.start, s.end) for s in r.terms] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == [("zanzibor", 0, 8), ("quill", 9, 14)] and not any(got[10 + i] for i in range(60))
+
+
 def test_pii_terms_far_and_repeated(spark):
     plain = "the plan about the weather and what one wrote at hand "
     text = "zq@mail.example " + plain * 20 + "Zanzibor " + plain * 3 + "ZANZIBOR zanzibor@mail.example"
