@@ -81,20 +81,29 @@ def features(text: Column, learned: list[str], stems: list[str]) -> Column:
         def with_sets(d: Column) -> Column:
             veiled = F.transform(F.filter(d["words"], lambda x: x.rlike(r"[0-9@$!]")), lambda x: F.translate(x, *DISGUISE))
             hidden = F.size(F.array_intersect(veiled, abuse)).cast("double")
+            masked = lambda x: x.rlike(r"[0-9@$!]") & F.translate(x, *DISGUISE).isin(ABUSE)
+            times = lambda seen, test: F.when(seen > 0, F.size(F.filter(w, test))).otherwise(0)
             open_ = F.array_intersect(d["words"], abuse)
             kinds = F.size(open_) + hidden
-            hits = F.when(F.size(open_) > 0, F.size(F.filter(w, lambda x: F.array_contains(abuse, x)))).otherwise(0) + hidden
+            hits = times(F.size(open_), lambda x: x.isin(ABUSE)) + times(hidden, masked)
 
             def gap() -> Column:
-                at = lambda lexicon: F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(lexicon, x), i)), lambda i: i.isNotNull())
-                best = lambda a, y: F.array_min(F.transform(a, lambda i: F.coalesce(F.array_min(F.transform(y, lambda j: F.abs(i - j))), F.lit(99))))
-                return let(at(abuse), lambda a: let(at(you), lambda y: F.least(F.lit(99), best(F.slice(a, 1, 50), y))))
+                """The least distance of abuse to a second person: one pass that carries the last place of each."""
+
+                def step(a: Column, x: Column) -> Column:
+                    last = F.struct((a["at"] + 1).alias("at"), F.when(x.isin(ABUSE), a["at"]).otherwise(a["abuse"]).alias("abuse"), F.when(x.isin(SECOND_PERSON), a["at"]).otherwise(a["you"]).alias("you"), a["best"].alias("best"))
+                    moved = lambda m: F.struct(m["at"].alias("at"), m["abuse"].alias("abuse"), m["you"].alias("you"), F.least(m["best"], F.abs(m["abuse"] - m["you"])).alias("best"))
+                    return let(last, moved)
+
+                zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("abuse"), F.lit(None).cast("int").alias("you"), F.lit(99).alias("best"))
+                return F.aggregate(w, zero, step)["best"]
 
             learned_kinds = (F.size(F.filter(d["words"], lambda x: x.isin(learned))) if learned else F.lit(0)).cast("double")
             stem_kinds = F.size(F.array_distinct(d["stemmed"])).cast("double")
-            seconds = F.size(F.array_intersect(d["words"], you)).cast("double")
+            learned_hits = times(learned_kinds, lambda x: x.isin(learned)) if learned else F.lit(0)
+            seconds = times(F.size(F.array_intersect(d["words"], you)), lambda x: x.isin(SECOND_PERSON)).cast("double")
             return F.struct(
-                (hits / n).alias("abuse_density"), kinds.cast("double").alias("abuse_kinds"), (learned_kinds / n).alias("learned_density"), learned_kinds.alias("learned_kinds"),
+                (hits / n).alias("abuse_density"), kinds.cast("double").alias("abuse_kinds"), (learned_hits / n).alias("learned_density"), learned_kinds.alias("learned_kinds"),
                 (F.size(d["stemmed"]) / n).alias("stem_density"), stem_kinds.alias("stem_kinds"), (seconds / n).alias("second_person_density"),
                 F.when((F.size(open_) > 0) & (seconds > 0), gap().cast("double")).otherwise(99.0).alias("nearest_you"),
                 (_chars(text, r"\p{Lu}") / F.greatest(F.lit(1.0), _chars(text, r"\p{L}"))).alias("capitals"), (_chars(text, r"\b\p{Lu}{4,}+\b") / n).alias("shouted"),

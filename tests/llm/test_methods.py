@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerlens.llm import html, jaccard, licenses, packing, pii, quality, queries, secrets, subwords
+from layerlens.llm import html, jaccard, licenses, packing, pii, quality, queries, secrets, subwords, toxicity
 from layerlens.llm.components import components
 from layerlens.llm.dedup import exact_dedup
 
@@ -290,3 +290,11 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert all(not secrets.find_secrets(r.text)[1] and r.n_chars >= 0 for r in safe.collect())
     packed = p.packing(spark, safe, sf)
     assert packed.select("doc_id").distinct().count() == safe.count()
+
+
+def test_toxicity_counts_all_places(spark):
+    words = ["die"] * 60 + ["word"] * 5 + ["idiot", "a", "you", "you", "1d1ot", "1d1ot"]
+    one = spark.createDataFrame([(" ".join(words),)], "text string").select(toxicity.features(F.col("text"), ["word"], []).alias("f")).first().f
+    n = len(words)
+    assert (one.nearest_you, one.learned_density, one.second_person_density) == (2, 5 / n, 2 / n)
+    assert one.abuse_density == 63 / n and one.abuse_kinds == 3 and one.learned_kinds == 1
