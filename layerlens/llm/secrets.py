@@ -24,13 +24,21 @@ NAME_WORDS = {
     "bearer": 0.8, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "authorization": 0.7, "key": 0.5, "api": 0.3, "access": 0.3, "private": 0.3, "signing": 0.3, "encryption": 0.3,
 }
 #: Values that stand for a secret without being one.
-PLACEHOLDERS = re.compile(r"(?:x+|\*+|change_?me|example|none|null|true|false|undefined|your[-_].*|<.*|\$\{?.*|%\(.*|\{\{.*|os\.environ.*|process\.env.*|env\..*|getenv.*)", re.IGNORECASE)
+PLACEHOLDERS = re.compile(r"(?:x+|\*+|change_?me|example|none|null|true|false|undefined|your[-_].*|<.*|\$\{.*|\$[A-Za-z_].*|%\(.*|\{\{.*|os\.environ.*|process\.env.*|env\..*|getenv.*)", re.IGNORECASE)
 THRESHOLD = 0.6
+#: What a literal of one class of characters is worth: enough under a fully sensitive name, too little under a weak one.
+ONE_CLASS = 0.8
 
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|key|credential|bearer|auth", re.IGNORECASE)
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*(?=["'A-Za-z0-9+/_])""")
-_VALUE = re.compile(rf"""[bruf]{{0,2}}"(?P<dq>[^"\\\n]*)"|[bruf]{{0,2}}'(?P<sq>[^'\\\n]*)'|(?P<bare>[A-Za-z0-9+/_.=-]+)""")
+#: A pair that begins its line, after export or a list's dash, is a configuration entry.
+_PAIR = re.compile(rf"""(?P<entry>^[\x20\t]*+(?:(?:export|set|-)[\x20\t]++)?)?(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*(?=["'A-Za-z0-9+/_!@#$%^&*~?.-])""", re.MULTILINE)
+_QUOTED = r"""[bruf]{0,2}"(?P<dq>(?:[^"\\\n]|\\.)*+)"|[bruf]{0,2}'(?P<sq>(?:[^'\\\n]|\\.)*+)'"""
+#: Bare values run to white space or a separator; those of configuration entries to white space, less what closes a list or
+#: statement, unless they are calls or subscripts.
+_VALUE = re.compile(rf"""{_QUOTED}|(?P<bare>[A-Za-z0-9+/_.=!@#$%^*~?-]+)""")
+_ENTRY = re.compile(rf"""{_QUOTED}|(?!["']|[A-Za-z_][A-Za-z0-9_.]*+(?:\([^\n()]*+\)|\[[^\n\[\]]*+\]))(?P<bare>[^\s,;)\]}}]++(?:[,;)\]}}]++[^\s,;)\]}}]++)*+)|(?P<cut>[A-Za-z0-9+/_.=!@#$%^*~?-]+)""")
+_ESCAPE = re.compile(r"\\(.)")
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*|[\x20\t]+(?=[\"'])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -51,13 +59,14 @@ def value_score(value: str) -> float:
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3.0) * (1.0 if mixed > 1 else 0.5)
+    return min(1.0, entropy / 3.0) * (1.0 if mixed > 1 else ONE_CLASS)
 
 
 def assigned_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals whose value reaches a sensitive name, directly or through constants.
 
-    Lexes name-literal pairs in order.  A pair's right side is a literal, a name bound earlier, or a concatenation of them;
+    Lexes name-literal pairs in order; quoted literals may hold escapes, bare ones end at white space, and outside
+    configuration entries at separators too.  A pair's right side is a literal, a name bound earlier, or a concatenation of them;
     it binds the target to the literals' spans and value.  Each sensitive target scores those spans by its own name and the
     whole value; a span's score is the best of its targets.
     """
@@ -67,19 +76,20 @@ def assigned_literals(text: str) -> list[tuple[int, int, float]]:
     found: dict[tuple[int, int], float] = {}
     for pair in _PAIR.finditer(text):
         at, spans, value = pair.end(), [], ""
-        while m := _VALUE.match(text, at):
+        while m := (_VALUE if pair["entry"] is None or spans else _ENTRY).match(text, at):
             kind = m.lastgroup
-            if kind == "bare" and m["bare"] in bound:
-                more, said = bound[m["bare"]]
+            bare = kind in ("bare", "cut")
+            if bare and m[kind] in bound:
+                more, said = bound[m[kind]]
                 spans += more
                 value += said
-            elif kind != "bare" or not spans or any(c.isdigit() for c in m["bare"]):
+            elif not bare or not spans or any(c.isdigit() for c in m[kind]):
                 spans.append(m.span(kind))
-                value += m[kind]
+                value += m[kind] if bare else _ESCAPE.sub(r"\1", m[kind])
             else:
                 break
             j = _JOIN.match(text, m.end())
-            if not j or kind == "bare" and "+" not in j[0] and ".." not in j[0]:
+            if not j or bare and "+" not in j[0] and ".." not in j[0]:
                 break
             at = j.end()
         if not spans:

@@ -94,6 +94,19 @@ def test_secrets_base_and_assignments(spark, sf, texts):
     assert "hunter2Zq9" not in secrets.redacted(text, secrets.find_secrets(text)[1])
 
 
+def test_secrets_of_one_class_escapes_and_bare_values():
+    def found(text):
+        return [text[a:b] for a, b, _ in secrets.assigned_literals(text)]
+
+    assert found('db_pwd = "hunterhunter"') == ["hunterhunter"] and found("credential = '8391048275'") == ["8391048275"]
+    assert found('passphrase = "correcthorsebatterystaple"') == ["correcthorsebatterystaple"] and not found('primary_key = "customernumber"')
+    assert found(r'db_pwd = "ab\"cd\\12xyz"') == [r'ab\"cd\\12xyz']
+    assert found("DB_PWD=p@ssw0rd!xyz\nexport API_TOKEN=$1x!y&z,9(q\n") == ["p@ssw0rd!xyz", "$1x!y&z,9(q"]
+    assert found("see db_pwd=p@ssw0rd!xyz, then") == ["p@ssw0rd!xyz"] and found("base = 'hunter2Zq9'\ndb_pwd = base;") == ["hunter2Zq9"]
+    text = "password=S3cr3t!tail and on"
+    assert secrets.redacted(text, secrets.find_secrets(text)[1]) == "password=[SECRET] and on"
+
+
 def test_subwords_equal_the_library(texts):
     import sentencepiece
 
