@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,16 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("proprietary", "All rights reserved"),
 )
+#: Paragraphs of licence bodies, for texts that copy them without a notice.
+BODIES = (
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"),
+)
+#: Tokens that tell licences apart: a block must hold those of its template.
+NAMES = ("mit", "apache", "gnu", "mozilla", "creative", "commons")
 THETA = 0.8
-STRIDE = 32  # no template is longer; blocks are two strides, so a notice lies whole in one of them
+STRIDE = 32  # no notice is longer; blocks are two strides, so a notice lies whole in one of them
 
 
 def lowered(text: Column) -> Column:
@@ -64,8 +74,9 @@ def license_matches(w: Column, order: list[str], templates=TEMPLATES, theta: flo
     With all sets in the global order, a block that holds need = ceil(theta |T|) of T's tokens has one of T's first
     |T| - need + 1 tokens among its own first |B| - need + 1 (prefix filter), has need tokens of the vocabulary (length
     filter), and from the first token in common, neither side has fewer than need tokens left (positional filter).  Only
-    then are the sets intersected.
+    then are the sets intersected.  A block must also hold T's NAMES.
     """
+    order = [t for t in order if any(t in template_tokens(text) for _, text in templates)]
     rank = {t: i for i, t in enumerate(order)}
     plans = []
     for label, text in templates:
@@ -81,7 +92,8 @@ def license_matches(w: Column, order: list[str], templates=TEMPLATES, theta: flo
             first = F.get(head, 0)
             left = F.least(F.size(b["tokens"]) - F.array_position(b["tokens"], first), F.lit(len(tokens)) - F.array_position(_literal(tokens), first))
             shared = F.size(F.array_intersect(b["tokens"], _literal(tokens)))
-            return F.when(F.size(b["tokens"]) >= need, F.when(F.size(head) > 0, (left + 1 >= need) & (shared >= need)).otherwise(False)).otherwise(False)
+            named = reduce(and_, (F.array_contains(b["tokens"], t) for t in tokens if t in NAMES), F.lit(True))
+            return F.when(F.size(b["tokens"]) >= need, F.when(F.size(head) > 0, (left + 1 >= need) & (shared >= need) & named).otherwise(False)).otherwise(False)
 
         scored = lambda b: F.struct(F.lit(label).alias("label"), b["at"].alias("block"), (F.size(F.array_intersect(b["tokens"], _literal(tokens))) / len(tokens)).alias("containment"))
         return F.transform(F.filter(blocks, matches), scored)
@@ -96,16 +108,18 @@ def license_matches(w: Column, order: list[str], templates=TEMPLATES, theta: flo
     return F.when(F.arrays_overlap(w, _literal(keys)), joined(w)).otherwise(none)
 
 
-def license_scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, theta: float = THETA) -> DataFrame:
-    """docs with `licenses`: struct<n_words, n_base, first_word, last_word, base_labels array, labels array, matches array>.
+def license_scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, theta: float = THETA, bodies=BODIES) -> DataFrame:
+    """docs with `licenses`: struct<n_words, n_base, first_word, last_word, base_labels array, labels array, matches array,
+    bodies array>.
 
     Base: the places where a phrase's words stand consecutively.  Method: every block of 64 words (stride 32) that holds at
-    least theta of a template's distinct words, see license_matches; tokens are ordered by their frequency over all of docs.
+    least theta of a template's distinct words, see license_matches; bodies are the same for
+    whole paragraphs, in blocks of twice the longest; tokens are ordered by their frequency over all of docs.
 
     Defined results: null and empty texts have no words, places or labels; an empty table gives no rows; repeated rows get
     the same answer each; other columns stay, one named licenses is replaced.
     """
-    order = token_order(docs, text_col, templates)
+    order = token_order(docs, text_col, (*templates, *bodies))
     phrase = rf"(?<= )(?:{'|'.join(PHRASES)})(?= )"
 
     def base(w: Column) -> Column:
@@ -125,16 +139,18 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, t
         return F.when(F.array_contains(w, "license"), let(spaced, lambda s: F.when(s.rlike(phrase), placed(s)).otherwise(none))).otherwise(none)
 
     def scanned(w: Column) -> Column:
-        def put(b: Column, m: Column) -> Column:
-            labels = F.array_sort(F.array_distinct(F.concat(b["base_labels"], F.transform(m, lambda x: x["label"]))))
-            return F.struct(F.size(w).cast("long").alias("n_words"), *(b[c].alias(c) for c in ("n_base", "first_word", "last_word", "base_labels")), labels.alias("labels"), m.alias("matches"))
+        def put(b: Column, m: Column, p: Column) -> Column:
+            labels = F.array_sort(F.array_distinct(F.concat(b["base_labels"], F.transform(F.concat(m, p), lambda x: x["label"]))))
+            return F.struct(F.size(w).cast("long").alias("n_words"), *(b[c].alias(c) for c in ("n_base", "first_word", "last_word", "base_labels")), labels.alias("labels"), m.alias("matches"), p.alias("bodies"))
 
-        return let(base(w), lambda b: let(license_matches(w, order, templates, theta), lambda m: put(b, m)))
+        body_stride = max((len(re.findall(WORD, text)) for _, text in bodies), default=STRIDE)
+        paragraphs = license_matches(w, order, bodies, theta, body_stride) if bodies else F.array().cast("array<struct<label:string,block:int,containment:double>>")
+        return let(base(w), lambda b: let(license_matches(w, order, templates, theta), lambda m: let(paragraphs, lambda p: put(b, m, p))))
 
     return docs.withColumn("licenses", let(words(lowered(text_of(text_col))), scanned))
 
 
 def score(licenses: Column) -> Column:
     """1 where a base phrase stands, else the best containment, else 0."""
-    best = F.coalesce(F.array_max(F.transform(licenses["matches"], lambda m: m["containment"])), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.transform(F.concat(licenses["matches"], licenses["bodies"]), lambda m: m["containment"])), F.lit(0.0))
     return F.when(licenses["n_base"] > 0, F.lit(1.0)).otherwise(best)

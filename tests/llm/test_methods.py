@@ -266,6 +266,13 @@ def test_license_matches_equal_all_templates(spark, texts):
         assert (got.n_words, got.n_base, got.first_word, got.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
 
 
+def test_license_names_and_bodies(spark):
+    warranty = "x " * 70 + dict(licenses.BODIES)["mit"].upper() + " y" * 70
+    rows = [(1, "Released under the Apache License"), (2, "license the parts under which it was released"), (3, "Licensed under the MIT License"), (4, warranty), (5, dict(licenses.BODIES)["bsd"]), (6, dict(licenses.BODIES)["isc"])]
+    got = {r.doc_id: r.licenses.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["apache"], 2: [], 3: ["mit"], 4: ["mit"], 5: ["bsd"], 6: ["isc"]}
+
+
 def test_quality_order_never_changes_a_verdict(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ranked = quality.cascade_order(docs)
