@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -11,16 +13,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import small_batches, text_of, written
+from layerlens.llm.common import Scratch, cell, filter_bits, may_hold, membership, slices, text_of
 from layerlens.llm.components import components
 
 #: The default sketch of token frequencies: 2 ** bits counters, a fixed size of 16 MB whatever the corpus.
 SKETCH_BITS = 22
-#: Leaders each token's documents are paired with, round by round: the second and later rounds are for what would still give
-#: over PAIRS pairs a posting if it were paired in full.
-LEADERS, PAIRS = (1, 4, 4, 4), 20
-#: So many ids at most are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bits of a set's parity signature, as longs: where the signatures of two sets differ, the sets do.
+SIGNATURE = 8
 _BLOCK = 1 << 12
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -95,22 +94,22 @@ def _block_counts(data: bytes, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind 0: id, size and a 128-bit digest of each set; of kind 1: blocks of the partition's frequency sketch."""
+    """Rows of kind 0: id, a hash of the text, size and a 128-bit digest of each set; of kind 1: blocks of the partition's
+    frequency sketch.  Ids pass through Python as strings: a column of numbers with a null among them would become floats."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, np.uint32)
-        for frame in frames:
+        for frame in chain.from_iterable(map(slices, frames)):
             sets = shingle_sets(frame["text"], n)
             counts += np.bincount(_cells(np.concatenate([*sets, np.empty(0, np.uint64)]), bits), minlength=1 << bits).astype(np.uint32)
-            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype("Int64"), "size": [len(s) for s in sets], "data": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
+            yield pd.DataFrame({"kind": 0, "id": frame["id"].astype(object), "text_key": frame["text_key"], "size": [len(s) for s in sets], "data": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
         blocks = counts.reshape(-1, min(_BLOCK, 1 << bits))
         for at in range(0, len(blocks), 64):
             some = [b for b in range(at, min(at + 64, len(blocks))) if blocks[b].any()]
-            data = [_block_bytes(blocks[b]) for b in some]
-            yield pd.DataFrame({"kind": 1, "id": pd.array(some, "Int64"), "size": 0, "data": data})
+            yield pd.DataFrame({"kind": 1, "id": pd.Series([str(b) for b in some], dtype=object), "text_key": 0, "size": 0, "data": [_block_bytes(blocks[b]) for b in some]})
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(build, "kind int, id long, size int, data binary")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), text_of(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInPandas(build, "kind int, id string, text_key long, size int, data binary").withColumn("id", F.col("id").cast("long"))
 
 
 def _frequencies(blocks: DataFrame, bits: int) -> np.ndarray:
@@ -122,7 +121,7 @@ def _frequencies(blocks: DataFrame, bits: int) -> np.ndarray:
         for frame in frames:
             for b, data in zip(frame["id"], frame["data"], strict=True):
                 total[b] = total.get(b, np.zeros(width, np.uint64)) + _block_counts(data, width)
-        yield pd.DataFrame({"id": pd.Series(list(total), dtype="Int64"), "data": [v.tobytes() for v in total.values()]})
+        yield pd.DataFrame({"id": pd.Series(list(total), dtype="int64"), "data": [v.tobytes() for v in total.values()]})
 
     out = np.zeros(1 << bits, np.uint64)
     for r in blocks.select("id", "data").repartition(F.col("id")).mapInPandas(add, "id long, data binary").toLocalIterator():
@@ -130,25 +129,51 @@ def _frequencies(blocks: DataFrame, bits: int) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-def _tokens(rows: DataFrame, n: int, percent: int, bits: int, frequency, whole: bool) -> DataFrame:
-    """Of rows (id, text): id, size and the prefix under order 0; or, whole, all tokens and the prefixes under orders 1, 2."""
+def _signature(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall on each of the signature's bits, modulo two, as longs."""
+    bits = 64 * SIGNATURE
+    return np.packbits((np.bincount((_mixed(tokens, 9) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _tokens(docs: DataFrame, wanted, wanted_bits: int, n: int, percent: int, bits: int, frequency, whole: bool) -> DataFrame:
+    """Of the rows (id, text) whose id may be wanted: id, size, the prefix under order 0 and the signature; or, whole, all
+    tokens and the prefixes under orders 1 and 2."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = frequency.value
         for frame in frames:
-            out = []
-            for i, s in zip(frame["id"], shingle_sets(frame["text"], n), strict=True):
-                if not len(s):
-                    continue
-                p = prefix_length(len(s), percent)
-                arrays = (np.sort(s.view(np.int64)), *(_ordered(s, f, k, bits, p) for k in (1, 2))) if whole else (_ordered(s, f, 0, bits, p),)
-                out.append((i, len(s), *(a.view(np.int64) for a in arrays)))
-            yield pd.DataFrame(out, columns=["id", "size", *(("tokens", "second", "third") if whole else ("first",))])
-
-    arrays = "tokens array<long>, second array<long>, third array<long>" if whole else "first array<long>"
+            frame = frame[may_hold(wanted.value, frame["cell"].to_numpy(np.int64))]
+            for part in slices(frame):
+                out = []
+                for i, s in zip(part["id"], shingle_sets(part["text"], n), strict=True):
+                    if len(s):
+                        p = prefix_length(len(s), percent)
+                        arrays = (np.sort(s.view(np.int64)), *(_ordered(s, f, k, bits, p) for k in (1, 2))) if whole else (_ordered(s, f, 0, bits, p), _signature(s))
+                        out.append((i, len(s), *(a.view(np.int64) for a in arrays)))
+                yield pd.DataFrame(out, columns=["id", "size", *(("tokens", "second", "third") if whole else ("first", "signature"))])
+
+    arrays = "tokens array<long>, second array<long>, third array<long>" if whole else "first array<long>, signature array<long>"
+    rows = docs.where("id is not null").select("id", "text", cell(F.xxhash64("id"), wanted_bits).alias("cell"))
     return rows.mapInPandas(build, f"id long, size int, {arrays}")
 
 
+def _some_tokens(prefixes: DataFrame, shared, shared_bits: int) -> DataFrame:
+    """The places (id, size, signature, at, token) of prefixes whose token may be shared."""
+
+    def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = frame["first"].map(len).to_numpy(np.int64)
+            if not counts.sum():
+                continue
+            token = np.concatenate(frame["first"].to_numpy())
+            keep = may_hold(shared.value, (token.view(np.uint64) >> np.uint64(64 - shared_bits)).astype(np.int64))
+            row = np.repeat(np.arange(len(frame)), counts)[keep]
+            at = (np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts))[keep]
+            yield frame[["id", "size", "signature"]].iloc[row].assign(at=at, token=token[keep])
+
+    return prefixes.mapInPandas(build, "id long, size int, signature array<long>, at int, token long")
+
+
 def _share(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of sorted distinct arrays."""
     if len(a) > len(b):
@@ -158,29 +183,26 @@ def _share(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> bool:
-    return not set(a.tolist()).isdisjoint(b.tolist())
+def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that meet under the other orders, both of them, and then reach the threshold itself.
 
-
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders, both of them, and then the threshold itself."""
+    The orders' prefixes alone are joined to the pairs; whole sets are fetched for the pairs that are left.
+    """
+    head = lambda x: whole.select(F.col("id").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
+    meet = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    near = pairs.join(head("b"), "b").join(head("a"), "a").where(meet).select("a", "b")
 
     def check(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["a", "b", "tokens_a", "second_a", "third_a", "tokens_b", "second_b", "third_b"]
         for frame in frames:
             keep = []
-            for a, b, *x in frame[columns].itertuples(index=False):
-                ta, sa, ha, tb, sb, hb = x
-                need = -(-percent * (len(ta) + len(tb)) // (100 + percent))
-                ka, kb = len(ta) - need + 1, len(tb) - need + 1  # a pair's own prefixes, by what it must share
-                if ka > 0 and kb > 0 and _meet(sa[:ka], sb[:kb]) and _meet(ha[:ka], hb[:kb]):
-                    both = _share(ta, tb)
-                    if 100 * both >= percent * (len(ta) + len(tb) - both):
-                        keep.append((a, b))
+            for a, b, x, y in frame[["a", "b", "tokens_a", "tokens_b"]].itertuples(index=False):
+                both = _share(x, y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"])
 
-    side = lambda x: whole.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "second", "third")))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "a long, b long")
+    side = lambda x: whole.select(F.col("id").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    return near.join(side("b"), "b").join(side("a"), "a").mapInPandas(check, "a long, b long")
 
 
 def _reachable(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
@@ -191,36 +213,48 @@ def _reachable(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perce
     return (100 + percent) * F.least(size_a - at_a, size_b - at_b) >= percent * (size_a + size_b)
 
 
-def _mixed_tokens(posts: DataFrame, label: DataFrame) -> DataFrame:
-    """posts with the documents' labels, of the tokens whose documents have more than one."""
-    labelled = posts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return labelled.join(mixed, "token", "left_semi")
+def _near(a: str, b: str, percent: int) -> Column:
+    """Length and positional filters, and the signatures: two sets differ in at least as many tokens as their signatures in
+    bits, and linked sets in at most (100 - t) / (100 + t) of their sizes' sum."""
+    c = lambda name, side: F.col(f"{name}{side}")
+    apart = reduce(add, (F.bit_count(c("signature", a)[k].bitwiseXOR(c("signature", b)[k])) for k in range(SIGNATURE)))
+    return _reachable(c("size", a), c("at", a), c("size", b), c("at", b), percent) & ((100 + percent) * apart <= (100 - percent) * (c("size", a) + c("size", b)))
 
 
-def _stars(rows: DataFrame, leaders: int, percent: int) -> DataFrame:
-    """Distinct pairs (leader, document) of different labels that share a token; each token has up to so many leaders.
+def _star(posts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (leader, document) that share a token.
 
-    A token's leaders are those before whose place for it stand the fewest rarer tokens, one for each value of a hash: of a
-    family of copies, these are the ones with the least of their own, which most others link to.
+    A token's leader is the one before whose place for it stand the fewest rarer tokens: of a family of copies, one with the
+    least of its own, which most others link to.
     """
-    one = F.struct("at", F.xxhash64("id").alias("h"), "id", "size", "label")
-    lead = [F.min(F.when(F.pmod(F.xxhash64(F.lit(leaders), "id"), F.lit(leaders)) == k, one)).alias(f"l{k}") for k in range(leaders)]
-    named = rows.groupBy("token").agg(*lead).select("token", F.array_compact(F.array(*(F.col(f"l{k}") for k in range(leaders)))).alias("leads"))
-    met = rows.join(named, "token").select("id", "size", "at", "label", F.explode("leads").alias("lead"))
-    near = met.where((F.col("label") != F.col("lead.label")) & _reachable(F.col("size"), F.col("at"), F.col("lead.size"), F.col("lead.at"), percent))
-    return near.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+    lead = posts.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "size", "signature")).alias("l"))
+    lead = lead.select("token", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("id", "at", "size", "signature")))
+    met = posts.join(lead, "token").where((F.col("id") != F.col("id_l")) & _near("", "_l", percent))
+    return met.select(F.col("id_l").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _mixed_tokens(posts: DataFrame, label: DataFrame) -> DataFrame:
+    """posts with the documents' labels and the token's commonest one, of the tokens whose documents have more than one."""
+    labelled = posts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("common"))
+    return labelled.join(common, "token")
+
 
+def _pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of documents of different labels that share a token and pass the filters.
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with these ids: by a broadcast where the counted ids stay under a fixed bound, else by a shuffle."""
-    ids = written(ids, "jaccard-ids")
-    small = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    Of each token, the documents outside its commonest label meet all others; those in it don't meet each other.
+    """
+    side = lambda s: rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "at", "label", "signature")), F.col("common").alias(f"common_{s}"))
+    other = side("b").where("label_b <> common_b")
+    once = (F.col("label_a") == F.col("common_a")) | (F.col("id_a") < F.col("id_b"))
+    met = side("a").join(other, "token").where((F.col("label_a") != F.col("label_b")) & once & _near("_a", "_b", percent))
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id.
+    """One row per row of docs: id, text_key (a 64-bit hash of the text), n_shingles, component_id.
 
     Two documents link when 100 |A and B| >= percent |A or B| of their sets of n-word shingles; component_id is the smallest
     id reachable by links.
@@ -228,55 +262,54 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     Method: multiple global orders.  Documents with equal sets collapse to one.  Order 0 ranks tokens by their frequency as
     estimated by a fixed-size sketch of all of docs (a wrong estimate changes the order, never the answer), the others rank
     its magnitude and then hash.  Linked sets share a token among their first |S| - ceil(t |S|) + 1 under every order: order
-    0 proposes pairs, the filters of the other orders are intersected with it, and what is left is verified on whole sets.
-    A token's documents are not paired with each other at first: each is paired with one leader, and verified links give
-    components; tokens whose documents are still apart get further leaders while pairing them in full would cost too much.
-    In the end all pairs of different components that share a token are proposed, so no link is lost, and a family of
-    copies, one component by then, doesn't cost its square.
+    0 proposes pairs, subject to length, position and the sets' signatures; the prefixes of the other orders are intersected
+    with it; and what is left is verified on whole sets.
+
+    Pairs are proposed in two steps.  First each document meets one leader of each of its tokens; verified links give
+    components.  Then all pairs of different components that share a token are proposed, so no link is lost, and a family
+    of copies, one component by then, doesn't cost its square.
 
     Defined results: null, empty and blank texts have no shingles and link with nothing; rows with a null id get the
-    component of their equals that have ids, else null; rows that repeat an id are one document; an empty table gives no
-    rows; other columns aren't read.
+    component of their equals that have ids, else null; rows that repeat an id are one document, each with the component of
+    its own text; an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
-    built = written(_sets(docs, n, bits, id_col, text_col), "jaccard-sets")
-    sets = built.where("kind = 0").select("id", "size", F.col("data").alias("digest"))
+    work = Scratch(spark, "jaccard")
+    built = work.table(_sets(docs, n, bits, id_col, text_col), "sets")
+    sets = built.where("kind = 0").select("id", "text_key", "size", F.col("data").alias("digest"))
     frequency = spark.sparkContext.broadcast(_frequencies(built.where("kind = 1"), bits))
-    classes = written(sets.where("size > 0").groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-classes")
-
+    classes = work.table(sets.where("size > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+
+    def tokens(ids: DataFrame, whole: bool, name: str) -> DataFrame:
+        width = filter_bits(ids.count())
+        wanted = spark.sparkContext.broadcast(membership(ids.select(F.xxhash64("id").alias("h")), "h", width))
+        return work.table(_tokens(text, wanted, width, n, percent, bits, frequency, whole), name)
+
     reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
-    first = _tokens(_only(text, reps), n, percent, bits, frequency, whole=False)
-    posts = first.select(F.posexplode("first").alias("at", "token"), "id", "size")
-    n_, sizes, reach = F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.min(F.col("size") - F.col("at")).alias("reach")
-    shared = posts.groupBy("token").agg(n_, sizes, reach).where((F.col("n") > 2) | ((F.col("n") == 2) & ((100 + percent) * F.col("reach") >= percent * F.col("sizes"))))
-    posts = written(posts.join(shared.select("token"), "token", "left_semi"), "jaccard-posts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "jaccard-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return written(_verified(pairs, written(_tokens(_only(text, ids), n, percent, bits, frequency, whole=True), "jaccard-tokens"), percent), "jaccard-links")
-
-    links = linked(_stars(posts.withColumn("label", F.col("id")), LEADERS[0], percent))
-    label = components(links)
-    stuck = False
-    for leaders in (*LEADERS[1:], None):
-        rest = written(_mixed_tokens(posts, label), "jaccard-rest")
-        met = rest.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
-        last = stuck or leaders is None or met[0] is None or met[0] <= PAIRS * met[1]
-        if last:
-            left, right = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "at", "label"))) for s in "ab")
-            across = left.join(right, "token").where((F.col("label_a") < F.col("label_b")) & _reachable(*map(F.col, ("size_a", "at_a", "size_b", "at_b")), percent))
-            new = linked(across.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-        else:
-            new = linked(_stars(rest, leaders, percent))
-        stuck = not new.take(1)
-        if not stuck:
-            links = links.unionByName(new)
-            label = components(links)
-        if last:
-            break
+    prefixes = tokens(reps, False, "prefixes")
+    held = prefixes.select(F.posexplode("first").alias("at", "token"), "size")
+    reach, sizes = F.min(F.col("size") - F.col("at")).alias("reach"), F.sum("size").alias("sizes")
+    counted = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sizes, reach)
+    shared = work.table(counted.where((F.col("n") > 2) | ((F.col("n") == 2) & ((100 + percent) * F.col("reach") >= percent * F.col("sizes")))).select("token"), "shared")
+    width = filter_bits(shared.count())
+    some = spark.sparkContext.broadcast(membership(shared, "token", width))
+    posts = work.table(_some_tokens(prefixes, some, width).join(shared, "token", "left_semi"), "posts")
+    work.drop("prefixes", "shared")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = work.table(pairs, f"{name}-pairs")
+        whole = tokens(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), True, f"{name}-tokens")
+        links = work.table(_linked(pairs, whole, percent), f"{name}-links")
+        work.drop(f"{name}-pairs", f"{name}-tokens")
+        return links
+
+    links = linked(_star(posts, percent), "star")
+    rest = work.table(_mixed_tokens(posts, components(links, work)), "rest")
+    work.drop("posts")
+    label = components(links.unionByName(linked(_pairs(rest, percent), "rest")), work)
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = sets.join(named, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return work.result(out.select(F.col("id").alias(id_col), "text_key", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id")))
