@@ -125,17 +125,3 @@ def same(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFram
         equal = left[c].eqNullSafe(few[f"__{c}"])
         condition = equal if condition is None else condition & equal
     return left.join(few, condition, how)
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    return Scratch(df.sparkSession, tag).table(df, "rows")
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df as it is: Arrow batches are bounded by bytes."""
-    return df

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import small_batches, text_of, written
+from layerlens.llm.common import Scratch, joined, slices, text_of
 
 #: Elements by their role, and attribute words that speak for or against main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,14 +285,17 @@ def fit(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES
             yield pd.DataFrame({"x": list(np.concatenate(xs)) if xs else [], "label": np.concatenate(ys) if ys else np.zeros(0)})
 
     drawn = pages.select(text_of(html_col).alias("html")).sample(min(1.0, train_pages / max(1, pages.count())), seed)
-    known = written(small_batches(drawn).mapInPandas(rows, "x array<double>, label double"), "html-nodes")
+    work = Scratch(pages.sparkSession, "html")
+    known = work.table(drawn.mapInPandas(rows, "x array<double>, label double"), "nodes")
     if known.select("label").distinct().count() < 2:
+        work.drop()
         return None
     known = known.select(array_to_vector("x").alias("features"), "label").coalesce(4).cache()
     try:
         return Trees.of(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=4, seed=seed).fit(known))
     finally:
         known.unpersist()
+        work.drop()
 
 
 def extract(pages: DataFrame, html_col: str = "html", trees: Trees | None = None) -> DataFrame:
@@ -314,5 +317,5 @@ def extract(pages: DataFrame, html_col: str = "html", trees: Trees | None = None
         ends = np.cumsum([len(a) for a in x]).tolist()
         return pd.Series([main_text(p, decode(p.parents, score[e - len(a) : e])) for p, a, e in zip(parsed, x, ends, strict=True)], dtype=object)
 
-    return small_batches(pages).withColumn("main_text", F.pandas_udf(run, "string")(text_of(html_col)))
+    return pages.withColumn("main_text", F.pandas_udf(run, "string")(text_of(html_col)))
 

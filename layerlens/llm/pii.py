@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import let, text_of, written
+from layerlens.llm.common import Scratch, let, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  Possessive repeats and a left boundary give the same matches as the plain ones in linear time: no part
@@ -101,7 +101,7 @@ def occurrences(text: Column, told: Column, base: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda f: F.when(F.size(f) > 0, let(F.split(text, TERM, -1), lambda g: let(terms, lambda t: walked(f, g, t)))).otherwise(none))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
+def disclosures(work: Scratch, found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
     """(row, term, disclosure): the terms of each row of found that disclose at least `generalise` of one of its entities.
 
     With document frequencies over all of docs: information of entity c is log2(N / df(c)), what term t tells of it is their
@@ -119,7 +119,7 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", gener
     term = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     held = found.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(term, "term")
     rare = F.col("df_t") <= F.pow(F.lit(n), 1 - generalise) * F.pow("df_c", F.lit(generalise)) * (1 + 1e-9)
-    pairs = written(held.join(group, "row").where(rare), "pii-pairs")
+    pairs = work.table(held.join(group, "row").where(rare), "pairs")
     share = F.col("df_t") / n
     told = F.log2((F.col("df_ct") + prior * share) / (F.col("df_c") + prior) / share) / F.log2(n / F.col("df_c"))
     pair = pairs.groupBy("df_c", "a", "b", "term", "df_t").agg(F.count(F.lit(1)).alias("df_ct")).withColumn("disclosure", F.least(F.lit(1.0), told))
@@ -139,14 +139,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("base", base_spans(F.col("text")))
     key = F.when(F.size("base") > 0, F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text"), 256))
     held = F.when(F.size("base") > 0, F.col("text"))
-    found = written(rows.select("id", key.alias("key"), "base", held.alias("text"), F.monotonically_increasing_id().alias("row")), "pii")
+    work = Scratch(docs.sparkSession, "pii")
+    found = work.table(rows.select("id", key.alias("key"), "base", held.alias("text"), F.monotonically_increasing_id().alias("row")), "found")
     some, none_found = found.where("key is not null"), found.where("key is null")
 
-    told = disclosures(some, docs, text_col, generalise, prior).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    told = disclosures(work, some, docs, text_col, generalise, prior).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
     empty = F.array().cast(_TERMS)
     terms = F.when(F.col("told").isNull(), empty).otherwise(occurrences(F.col("text"), F.col("told"), F.col("base")))
     out = some.join(told, "row", "left").select("id", "key", "base", terms.alias("terms"))
-    return out.unionByName(none_found.select("id", "key", "base", empty.alias("terms"))).withColumnRenamed("id", id_col)
+    return work.result(out.unionByName(none_found.select("id", "key", "base", empty.alias("terms"))).withColumnRenamed("id", id_col))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import small_batches, text_of
+from layerlens.llm.common import joined, slices, text_of
 
 #: The base patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "literal")
@@ -131,7 +132,12 @@ def _listed(spans) -> str:
 SCANNED = "n_assign long, n_access long, n_hex long, n_literal long, base_spans string, spans string, redacted string"
 
 
-def _scan(texts: pd.Series) -> pd.DataFrame:
+def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        yield joined((_scanned(part["text"]) for part in slices(texts.to_frame("text"))), _scanned([]))
+
+
+def _scanned(texts: Iterable[str]) -> pd.DataFrame:
     rows = []
     for text in texts:
         spans, values = find_secrets(text)
@@ -151,5 +157,5 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Defined results: null and empty texts have no spans; an empty table gives no rows; repeated rows get the same answer
     each; overlapping values are masked once; other columns stay, one named secrets is replaced.
     """
-    return small_batches(docs).withColumn("secrets", F.pandas_udf(_scan, SCANNED)(text_of(text_col)))
+    return docs.withColumn("secrets", F.pandas_udf(_scan, SCANNED)(text_of(text_col)))
 

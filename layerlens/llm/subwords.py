@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import small_batches, text_of
+from layerlens.llm.common import joined, slices, text_of
 
 SPACE = "\u2581"
 CACHED_SEGMENTS, CACHED_PAIRS = 800_000, 1_000_000
@@ -226,7 +226,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
     other columns stay, one named pieces is replaced.
     """
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield joined((coded(part["text"]) for part in slices(texts.to_frame("text"))), coded([]))
+
+    def coded(texts: Iterable[str]) -> pd.DataFrame:
         t, rows = transducer(model_path), []
         low, high = min(t.bytes.values(), default=0), max(t.bytes.values(), default=-1)
         for text in texts:
@@ -235,7 +239,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
             rows.append((ids.astype("i4") if with_ids else None, len(ids), int(((ids >= low) & (ids <= high)).sum()), zlib.crc32(raw), t.decode(ids.tolist()) == text))
         return pd.DataFrame(rows, columns=["ids", "n_ids", "n_fallback", "ids_crc32", "round_trip"])
 
-    return small_batches(docs).withColumn("pieces", F.pandas_udf(run, ENCODED)(text_of(text_col)))
+    return docs.withColumn("pieces", F.pandas_udf(run, ENCODED)(text_of(text_col)))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -245,4 +249,4 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
         t = transducer(model_path)
         return pd.Series([t.decode(x) for x in batch], dtype=object)
 
-    return small_batches(rows).withColumn("text", F.pandas_udf(run, "string")(F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))))
+    return rows.withColumn("text", F.pandas_udf(run, "string")(F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))))

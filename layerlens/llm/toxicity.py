@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import let, text_of, written
+from layerlens.llm.common import Scratch, let, text_of
 
 #: Abuse by language, pronouns of the second person, and letters that digits and signs stand for.
 ABUSE = (
@@ -161,22 +161,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, train_rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     text = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = written(text.join(F.broadcast(drawn), "id").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(10))), "toxicity-sample")
+    work = Scratch(docs.sparkSession, "toxicity")
+    rows = work.table(text.join(F.broadcast(drawn), "id").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(10))), "sample")
     lexicon, grown, curve = rows.where("part < 4"), rows.where("part between 4 and 7"), rows.where("part > 7")
     words = _words(F.lower("text"))
     learned, stems = _learned(lexicon, F.array_distinct(words), LEARNED), _learned(lexicon, _stems(words), LEARNED)
     rated = lambda part: _vectors(part.select("label", features(F.col("text"), learned, stems).alias("__features")))
-    train = written(rated(grown).withColumn("label", F.col("label").cast("double")), "toxicity-train").coalesce(4).cache()
+    train = work.table(rated(grown).withColumn("label", F.col("label").cast("double")), "train").coalesce(4).cache()
     try:
         if train.select("label").distinct().count() < 2:
+            work.drop()
             return ToxicityModel(learned, stems, None, None)
         boosted = GBTClassifier(featuresCol="__x", labelCol="label", predictionCol="__predicted", maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=seed)
         model = boosted.setProbabilityCol("__probability").setRawPredictionCol("__margin").fit(train)
     finally:
         train.unpersist()
     held = model.transform(rated(curve)).select(F.col("label").cast("double").alias("label"), vector_to_array("__probability")[1].alias("__raw"))
-    held = written(held, "toxicity-curve").coalesce(1)
+    held = work.table(held, "curve").coalesce(1)
     fitted = IsotonicRegression(featuresCol="__raw", labelCol="label", predictionCol="__score").fit(held) if held.select("label").distinct().count() > 1 else None
+    work.drop()
     return ToxicityModel(learned, stems, model, fitted)
 
 
