@@ -5,15 +5,15 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import small_batches, text_of, written
+from layerlens.llm.common import Scratch, slices, text_of
 
 CAPACITY = 2048
 #: Tokens a packing group aims at: a group is one task's work, so its size doesn't grow with the corpus.
@@ -90,6 +90,12 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: As Python gets them: a column of numbers with a null among them would become floats.
+_SPELT = PIECES.replace("doc_id long", "doc_id string")
+
+
+def _spelt(number: Column) -> Column:
+    return number.cast("string")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -97,17 +103,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, step = tokenizer(tokenizer_path), 4 * capacity
-        for frame in frames:
+        for frame in chain.from_iterable(map(slices, frames)):
             rows = []
-            for doc_id, ids in zip(frame["id"].astype(object).where(frame["id"].notna(), None), tok.encode(frame["text"]), strict=True):
+            for doc_id, ids in zip(frame["id"], tok.encode(frame["text"]), strict=True):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
-                    rows.append((doc_id if doc_id is None else int(doc_id), k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("i4")] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype("i4")] if with_ids else [])))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]).astype({"doc_id": object})
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(_spelt(F.col(id_col).cast("long")).alias("id"), text_of(text_col).alias("text"))
+    cuts = rows.mapInPandas(cut, _SPELT + (", ids array<int>" if with_ids else ""))
+    return cuts.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -156,7 +163,7 @@ def _group_packer(capacity: int, last: bool):
 
 
 def _pack_group(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
-    frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    frame = frame.astype({"doc_id": object}).sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
     lengths = frame["length"].to_numpy(np.int64)
     place, offset, fill = best_fit(lengths, capacity)
     bound = lower_bound(lengths, capacity)
@@ -182,8 +189,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     interchangeable, and ties go by id, piece and checksum.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = PIECES + ", group int, bin long, offset long, bins int, bound int, closed boolean"
-    current, done = items.select(*columns), []
+    schema = _SPELT + ", group int, bin long, offset long, bins int, bound int, closed boolean"
+    current, done, work = items.select(_spelt(F.col("doc_id")).alias("doc_id"), *columns[1:]), [], Scratch(items.sparkSession, "packing")
     for r in range(rounds):
         tokens = current.agg(F.sum("length")).first()[0]
         if not tokens:
@@ -191,19 +198,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
         groups = -(-tokens // group_tokens)
         last = r == rounds - 1 or (r > 0 and groups == 1)
         dealt = current.withColumn("group", F.pmod(F.xxhash64(F.lit(r), *columns), F.lit(groups)).cast("int"))
-        packed = dealt.groupBy("group").applyInPandas(_group_packer(capacity, last), schema)
-        packed = written(packed, f"packing-{r}")
+        packed = work.table(dealt.groupBy("group").applyInPandas(_group_packer(capacity, last), schema), f"round-{r}")
         number = F.col("bin") + F.col("group").cast("long") * (1 << 24) + F.lit(r) * (1 << 58)
         done.append(packed.where("closed").select(*columns, number.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified")))
         current = packed.where("not closed").select(*columns)
         if last:
             break
     if not done:
-        return current.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified")).limit(0)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        done = [current.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified")).limit(0)]
+    return work.result(reduce(DataFrame.unionByName, done).withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -212,5 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Defined results: a null text counts as empty and is one piece of the single id 0; an empty table gives no rows; repeated
     rows and null ids are packed as rows of their own; only texts longer than capacity are cut; other columns aren't read.
     """
-    cut = written(pieces(docs, tokenizer_path, id_col, text_col, capacity), "packing-pieces")
-    return pack(cut, capacity, group_tokens)
+    work = Scratch(docs.sparkSession, "packing")
+    packed = pack(work.table(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces"), capacity, group_tokens)
+    work.drop()
+    return packed

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from layerlens.llm import dedup, html, jaccard, licenses, packing, pii, quality, secrets, subwords, toxicity
+from layerlens.llm.components import components
 from layerlens.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, kept boolean, secrets string, licenses string, pieces string, score string, label string, token string, `key` string"
@@ -69,3 +70,43 @@ def test_toxicity_learns(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     scored = toxicity.fit(d, d.select("doc_id", "toxic"), trees=3).score(d.select("doc_id", "text")).collect()
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in scored)
+
+
+LARGE = [((1 << 60) + 1, "one text of a large id and more"), ((1 << 60) + 3, "another text of its own here, long enough"), (None, "a third text that has no id at all")]
+
+
+def test_large_ids_beside_a_null(spark):
+    rows = spark.createDataFrame(LARGE, "doc_id long, text string").coalesce(1)
+    want = {i for i, _ in LARGE}
+    assert {r.doc_id for r in packing.pack_documents(rows, vocabulary("word_bpe_49k.json")).collect()} == want
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_classes(rows, bits=12).collect()} == {(i, i) for i in want}
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_keeps_texts_under_one_id(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(1, "a text", "b", "x", 6), (1, "b text", "b", "x", 6), (1, "a  text", "a", "x", 7), (2, "c", "b", "x", 1), (3, "a text", "b", "x", 6), (None, "c", "b", "x", 1), (None, "d", "b", "x", 1), (None, "d", "a", "x", 1)]
+    got = p.exact_copies(spark, spark.createDataFrame(rows, PIPE), sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "d"), (1, "a  text"), (1, "b text"), (2, "c")]
+    near = [(1, "one two three four five", "b", "x", 1), (1, "quite another text of five", "b", "x", 1), (2, "one two three four five", "b", "x", 1), (None, "One two three four five", "b", "x", 1), (None, None, "b", "x", 1)]
+    got = p.near_copies(spark, spark.createDataFrame(near, PIPE), sf).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (1, "one two three four five"), (1, "quite another text of five")]
+
+
+def test_pipeline_stages_on_nothing_and_on_odd_rows(spark, sf):
+    import corpus_pipeline as p
+
+    odd = [(i, t, None, None, None) for i, t in ROWS]
+    for name, stage in p.STAGES:
+        assert stage(spark, spark.createDataFrame([], PIPE), sf).count() == 0, name
+        got = stage(spark, spark.createDataFrame(odd, PIPE), sf)
+        assert got.count() > 0 or name == "quality rules"
+        if name != "best-fit packing":
+            assert got.columns == [f.split()[0] for f in PIPE.split(", ")]
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")).count() == 0

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from layerlens.llm import html, jaccard, licenses, packing, pii, quality, queries, secrets, subwords, toxicity
+from layerlens.llm import common, html, jaccard, licenses, packing, pii, quality, queries, secrets, subwords, toxicity
 from layerlens.llm.components import components
 from layerlens.llm.dedup import exact_dedup
 
@@ -120,18 +120,22 @@ def test_subwords_equal_the_library(texts):
 
 
 def _near_rows():
+    """Families of near copies, a passage that many documents share, and one large family with strays beside it."""
     rng = random.Random(9)
     vocabulary = [f"w{k}" for k in range(4000)]
     rows, k = [], 0
     passage = [rng.choice(vocabulary) for _ in range(60)]
-    for _ in range(12):
+    for family in range(12):
         base = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 200))]
-        for _ in range(rng.randrange(1, 25)):
+        for _ in range(120 if family == 0 else rng.randrange(1, 25)):
             own = list(base)
             for _ in range(rng.randrange(0, 5)):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             rows.append((k, " ".join(own + (passage if rng.random() < 0.2 else []))))
             k += 1
+    for _ in range(40):  # nearly the passage alone
+        rows.append((k, " ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randrange(2, 12))])))
+        k += 1
     return rows
 
 
@@ -151,13 +155,25 @@ def test_jaccard_equals_all_pairs(spark):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for pairs in (jaccard.PAIRS, 0):
-        before, jaccard.PAIRS = jaccard.PAIRS, pairs
-        try:
-            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, bits=14).collect()}
-        finally:
-            jaccard.PAIRS = before
-        assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, bits=14).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert 1 < len({root(i) for i in sets}) < len(sets)
+
+
+def test_signatures_never_exceed_the_difference():
+    rng = random.Random(1)
+    pool = np.array([rng.getrandbits(64) for _ in range(900)], np.uint64)
+    for _ in range(200):
+        x, y = (np.array(rng.sample(list(pool), rng.randrange(1, 700)), np.uint64) for _ in "xy")
+        apart = sum((int(a) ^ int(b)).bit_count() for a, b in zip(jaccard._signature(x).view(np.uint64), jaccard._signature(y).view(np.uint64), strict=True))
+        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_membership_filters_hold_all(spark):
+    values = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    bitmap = common.membership(values, "h", 17)
+    cells = np.array([r.c for r in values.select(common.cell(F.col("h"), 17).alias("c")).collect()], np.int64)
+    assert common.may_hold(bitmap, cells).all() and np.unpackbits(bitmap).sum() == len(set(cells.tolist()))
 
 
 def test_components(spark):
