@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.llm.common import written
-from layerlens.llm.dedup import exact_dedup
+from layerlens.llm.common import Scratch, same, text_of
+from layerlens.llm.dedup import exact_dedup, normalised, sha256
 from layerlens.llm.jaccard import jaccard_classes
 from layerlens.llm.packing import pack_documents
 from layerlens.llm.quality import quality_verdicts
@@ -17,32 +17,42 @@ from layerlens.llm.secrets import scan_secrets
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows with these ids; a row without an id can't be named, and stays."""
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents no quality rule rejects."""
+    """Documents no quality rule rejects.  Null and empty texts go; repeated rows share a verdict; no rows give none."""
     return quality_verdicts(docs).where("kept").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose normalised texts are equal, the one with the smallest id; of rows that repeat one, one."""
-    rest = _without(docs, exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    if not again.take(1):
-        return rest
-    return _without(rest, again).unionByName(rest.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of rows whose normalised texts are equal, one with the smallest id.
+
+    Rows are told apart by id and text, so two texts under one id both stay.  Of rows that repeat both, the one with the
+    smallest other columns stays; a text without any id counts as one document; no rows give none.
+    """
+    found = exact_dedup(docs)
+    key = ["doc_id", "digest"]
+    keyed = docs.withColumn("digest", sha256(normalised(text_of("text")))) if "digest" not in docs.columns else docs.withColumnRenamed("digest", "__digest").withColumn("digest", sha256(normalised(text_of("text"))))
+    rest = same(keyed, found.where("not kept"), key, "left_anti")
+    again = found.where("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    if again.take(1):
+        whole = F.struct(*(F.col(f"`{c}`") for c in keyed.columns))
+        one = same(rest, again, key, "left_semi").groupBy(*key).agg(F.min(whole).alias("row")).select("row.*")
+        rest = same(rest, again, key, "left_anti").unionByName(one)
+    rest = rest.drop("digest").withColumnRenamed("__digest", "digest")
+    return rest.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links of equal 4-word shingles at 0.85, the one with the smallest id."""
-    return _without(docs, jaccard_classes(docs).where("component_id <> doc_id").select("doc_id").distinct())
+    """Of documents connected by links of equal 4-word shingles at 0.85, the one with the smallest id.
+
+    Rows of one id are one document and stay together where it stays; a row without an id goes if its shingles equal those
+    of a document with one; texts without words stay; no rows give none.
+    """
+    gone = jaccard_classes(docs).where("component_id is not null and not doc_id <=> component_id").select("doc_id", F.col("text_key").alias("__text_key"))
+    return same(docs.withColumn("__text_key", F.xxhash64(text_of("text"))), gone, ["doc_id", "__text_key"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secret values masked in the text, and n_chars of the new text."""
+    """All documents, with the secret values masked in the text, and n_chars of the new text; null texts stay null."""
     found = scan_secrets(docs)
     text = F.coalesce(F.col("secrets")["redacted"], F.col("text"))
     masked = found.withColumn("n_chars", F.when(F.col("secrets")["redacted"].isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
@@ -50,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their place in sequences of at most 2048 tokens."""
+    """Token pieces of the documents with their place in sequences of at most 2048 tokens; a null text is one piece."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -58,10 +68,12 @@ STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("n-gram Ja
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{k}")
+    """The stages one after the other, each written to the shared folder before the next reads it; what a stage has read goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        work = Scratch(spark, f"pipeline-{name.replace(' ', '-')}")
+        docs = work.table(stage(spark, docs, sf_dir), "rows")
+        if before:
+            before.drop()
+        before = work
     return docs
