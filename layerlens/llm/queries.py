@@ -58,9 +58,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality.quality_verdicts(documents(spark, sf_dir), metrics=True)
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rated = quality.quality_verdicts(documents(spark, sf_dir), metrics=asked)
     m = lambda name: F.col("measures")[name]
-    return rated.select("doc_id", *(m(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), quality.base_failed(m).alias("base_failed"), "kept")
+    return rated.select("doc_id", *(m(c).alias(c) for c in asked), quality.base_failed(m).alias("base_failed"), "kept")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

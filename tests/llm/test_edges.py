@@ -24,7 +24,7 @@ RUNS = {
     "jaccard": lambda d: jaccard.jaccard_classes(d, bits=12),
     "pii": lambda d: pii.find_pii(d),
     "html": lambda d: html.extract(d, "text"),
-    "quality": lambda d: quality.quality_verdicts(d, metrics=True),
+    "quality": lambda d: quality.quality_verdicts(d, metrics=tuple(quality.MEASURES)),
     "licenses": lambda d: licenses.license_scan(d),
     "dedup": lambda d: dedup.exact_dedup(d),
 }

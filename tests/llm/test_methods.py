@@ -294,7 +294,7 @@ def test_quality_order_never_changes_a_verdict(spark, sf):
     ranked = quality.cascade_order(docs)
     assert {r.name for r, _, _ in ranked} == {r.name for r in quality.BASE_RULES + quality.METHOD_RULES}
     one = quality.quality_verdicts(docs, order=ranked).where("kept").select("doc_id")
-    two = quality.quality_verdicts(docs, order=ranked[::-1], metrics=True).where("kept").select("doc_id")
+    two = quality.quality_verdicts(docs, order=ranked[::-1], metrics=tuple(quality.MEASURES)).where("kept").select("doc_id")
     assert sorted(one.collect()) == sorted(two.collect())
 
 
@@ -334,3 +334,13 @@ def test_toxicity_counts_all_places(spark):
     n = len(words)
     assert (one.nearest_you, one.learned_density, one.second_person_density) == (2, 5 / n, 2 / n)
     assert one.abuse_density == 63 / n and one.abuse_kinds == 3 and one.learned_kinds == 1
+
+
+def test_quality_cascade_stops_early(spark):
+    """A rule behind one that rejects isn't evaluated: here it would fail."""
+    docs = spark.createDataFrame([("few",), ("one two three four five six seven eight nine ten eleven twelve a b c d e f g h i",)], "text string")
+    fails = quality.Rule("fails", lambda m: F.raise_error(F.lit("evaluated")).cast("boolean") | (m("n_marks") > 0))
+    order = [(quality.BASE_RULES[0], 0.0, 0.0), (fails, 0.0, 0.0)]
+    assert not quality.quality_verdicts(docs.where("text = 'few'"), order=order, metrics=("n_words",)).first().kept
+    with pytest.raises(Exception, match="evaluated"):
+        quality.quality_verdicts(docs, order=order, metrics=("n_words",)).collect()
