@@ -49,14 +49,19 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Transducer:
-    """Normaliser, pieces and byte fallback as one transducer, composed with an input on demand.
-
-    The normaliser maps a space to the space mark and puts one in front.  The piece transducer has an arc for each piece,
-    and for a character that is no piece one that writes its bytes.  A unigram model weighs an arc by its negated log
-    probability; its shortest path in the tropical semiring is the encoding.  A byte-pair model's arcs weigh one each, and
-    its states remember the last piece: two pieces may stand side by side only if merging their joint text gives these two
-    again.  Exactly one path meets that, the encoding by merges, and every prefix of the input has one last piece too, so
-    one state a position is enough.
+    """Normaliser, pieces and byte fallback as one weighted transducer, composed with an input on demand.
+
+    Three machines are compiled from the model.  The normaliser (deterministic, so composing it is rewriting the text) maps a
+    space to the space mark, drops further spaces where the model says so and puts a mark in front.  The piece machine is a
+    trie: from its root, an arc for each piece reads the piece's characters and writes its id.  The fallback machine has an
+    arc for each character that is no piece, which writes its bytes' ids, or the unknown id once for a run.
+
+    A path's weight is the sum of its arcs' (tropical semiring: sum along a path, minimum over paths); `shortest` relaxes the
+    arcs of the composition place by place, which is its topological order.  A unigram model weighs a piece by its negated
+    log probability.  A byte-pair model's arcs weigh one each, and its states remember the last piece: an arc leads on only
+    if merging the two pieces' joint text gives these two again, any other has the semiring's zero (infinite) as its weight.
+    Exactly one path of finite weight is left, the encoding by merges; and as each prefix of the input has one such path
+    too, a place has one state at most.
     """
 
     def __init__(self, model: bytes):
@@ -81,14 +86,24 @@ class Transducer:
         self.packed = {t: struct.pack("<I", i) for t, i in self.id.items()}
         self.bytes = {int(t[3:5], 16): i for i, t in enumerate(self.text) if self.kind[i] == BYTE}
         self.unknown = self.kind.index(UNKNOWN)
+        self.unknown_packed = struct.pack("<I", self.unknown)
         self.rank = {t: self.weight[i] for t, i in self.id.items()}
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.heads = {p[:k]: False for p in self.id for k in range(1, len(p) + 1)} | dict.fromkeys(self.id, True)
         self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else t.encode() if k in (NORMAL, USER) else b" \xe2\x81\x87 " if k == UNKNOWN else b"" for t, k in zip(self.text, self.kind, strict=True)]
+        #: The piece machine: a state is the text read since the root; its value is the weight of the arc that may end there.
+        one = self.model == BPE
+        far = float("inf")
+        self.trie: dict[str, float] = {p[:k]: far for p in self.id for k in range(1, len(p) + 1)}
+        self.trie |= {p: 1.0 if one else self.weight[i] for p, i in self.id.items()}
+        #: The fallback machine's arcs: dearer than any piece by a fixed penalty, as the library has it.
+        self.fallback = 1.0 if one else max((self.weight[i] for i in self.id.values() if self.kind[i] == NORMAL), default=0.0) + 10.0
+        if not one:  # the user's own symbols win over any cut of them
+            least = min((self.weight[i] for i in self.id.values() if self.kind[i] == NORMAL), default=0.0)
+            self.trie |= {p: len(p) * least - 0.1 for p, i in self.id.items() if self.kind[i] == USER}
         alone = "".join(c for c in "\n\t\r|" if not any(c in pair for pair in self.inside))
         #: Cuts that no piece spans: before a run of space marks, and around characters that only stand alone.
         self.cut = re.compile(rf"{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+|[{re.escape(alone)}]" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cuts_hold = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        self.cuts_hold = bool(self.bytes) and not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -112,9 +127,7 @@ class Transducer:
         return parts
 
     def adjoin(self, a: str, b: str) -> bool:
-        """Whether the pair of pieces may stand side by side."""
-        if a[-1] + b[0] not in self.inside:
-            return True
+        """Whether, of a byte-pair model, the arc of piece b leads on from the state that piece a leads to."""
         ok = self.pairs.get((a, b))
         if ok is None:
             if len(self.pairs) >= CACHED_PAIRS:
@@ -122,65 +135,46 @@ class Transducer:
             ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return ok
 
-    def _ends(self, text: str, i: int) -> list[int]:
-        """Where the arcs from place i end, nearest first; the next character always has one."""
-        heads, out, n = self.heads, [i + 1], len(text)
-        if text[i] in heads:
-            for j in range(i + 2, n + 1):
-                piece = heads.get(text[i:j])
-                if piece is None:
-                    break
-                if piece:
-                    out.append(j)
-        return out
-
     def shortest(self, text: str) -> list[str]:
-        """The pieces (or single characters that are none) on the shortest path over text."""
-        return self._only_path(text) if self.model == BPE else self._best_path(text)
-
-    def _only_path(self, text: str) -> list[str]:
-        """Of a byte-pair model: longest arcs first; a place from which no path leads on is closed for good."""
-        n, closed, trail = len(text), bytearray(len(text) + 1), []
-        pos, before, ends = 0, "", self._ends(text, 0)
-        k = len(ends) - 1
-        while True:
-            while k >= 0:
-                end = ends[k]
-                if not closed[end] and (not before or self.adjoin(before, text[pos:end])):
-                    break
-                k -= 1
-            if k < 0:
-                closed[pos] = 1
-                pos, before, ends, k = trail.pop()
-                k -= 1
-                continue
-            trail.append((pos, before, ends, k))
-            if end == n:
-                return [text[p : e[i]] for p, _, e, i in trail]
-            before, pos = text[pos:end], end
-            ends = self._ends(text, pos)
-            k = len(ends) - 1
-
-    def _best_path(self, text: str) -> list[str]:
-        n, far, unknown = len(text), float("inf"), max(self.weight) + 10.0
-        cost, last = [0.0] + [far] * n, [0] * (n + 1)
+        """The pieces (or single characters that are none) on the path of least weight over text.
+
+        A place's arcs are the pieces read from there, along the trie, and the fallback where its character is no piece.
+        """
+        n, far, trie, inside, known, states = len(text), float("inf"), self.trie, self.inside, self.pairs.get, self.model == BPE
+        cost, piece = [0.0] + [far] * n, [""] * (n + 1)
         for i in range(n):
-            for j in self._ends(text, i):
-                at = self.id.get(text[i:j])
-                step = cost[i] + (unknown if at is None else self.weight[at])
-                if step < cost[j]:
-                    cost[j], last[j] = step, i
+            if (so_far := cost[i]) == far:
+                continue
+            before, j = piece[i], i + 1
+            bound = states and before and before[-1] + text[i] in inside  # else any arc leads on
+            weight = trie.get(text[i], far)
+            if weight == far:
+                weight = self.fallback
+            arc = text[i]
+            while True:
+                total = so_far + weight
+                if total < cost[j] and (not bound or (ok := known((before, arc))) or ok is None and self.adjoin(before, arc)):
+                    cost[j], piece[j] = total, arc
+                j += 1
+                arc = text[i:j]
+                if j > n or (weight := trie.get(arc)) is None:
+                    break
         out, at = [], n
         while at:
-            out.append(text[last[at] : at])
-            at = last[at]
+            out.append(piece[at])
+            at -= len(piece[at])
         return out[::-1]
 
     def _ids(self, segment: str) -> bytes:
-        return b"".join([self.packed.get(piece) or self._fallback(piece) for piece in self.shortest(segment)])
+        out: list[bytes] = []
+        for piece in self.shortest(segment):
+            ids = self.packed.get(piece) or self._fallback(piece)
+            if ids != self.unknown_packed or not out or out[-1] != ids:  # a run of unknowns is written once
+                out.append(ids)
+        return b"".join(out)
 
     def _fallback(self, character: str) -> bytes:
-        return np.asarray([self.bytes[b] for b in character.encode()] if self.bytes else [self.unknown], "<u4").tobytes()
+        return np.asarray([self.bytes[b] for b in character.encode()], "<u4").tobytes() if self.bytes else self.unknown_packed
 
     def _learn(self, segment: str) -> bytes:
         stem = segment.rstrip(".,")
@@ -192,9 +186,11 @@ class Transducer:
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
+        """Ids as little-endian 32-bit numbers.  Segments that no piece spans are encoded apart and cached."""
         text = self.normalise(text)
-        segments = self.cut.findall(text) if self.cuts_hold else [text] if text else []
+        if not self.cuts_hold:
+            return self._ids(text)
+        segments = self.cut.findall(text)
         if len(self.known) >= CACHED_SEGMENTS:
             self.known.clear()
         for x in {*segments}.difference(self.known):
@@ -243,7 +239,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """rows with `text` from an array of ids; null ids give the empty text."""
+    """rows with `text` from an array of ids.
+
+    Defined results: null and empty arrays give the empty text; ids the model lacks fail the job; an empty table gives no
+    rows; repeated rows get the same answer each; a column named text is replaced.
+    """
 
     def run(batch: pd.Series) -> pd.Series:
         t = transducer(model_path)

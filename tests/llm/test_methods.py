@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,3 +345,47 @@ def test_quality_cascade_stops_early(spark):
     assert not quality.quality_verdicts(docs.where("text = 'few'"), order=order, metrics=("n_words",)).first().kept
     with pytest.raises(Exception, match="evaluated"):
         quality.quality_verdicts(docs, order=order, metrics=("n_words",)).collect()
+
+
+def _message(*fields):
+    """A protocol buffer message of (number, bytes | float | int)."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+            continue
+        data = value if isinstance(value, bytes) else None
+        rest, varint = len(data) if data is not None else value, b""
+        while rest > 127:
+            varint, rest = varint + bytes([rest & 127 | 128]), rest >> 7
+        out += bytes([number << 3 | (2 if data is not None else 0)]) + varint + bytes([rest]) + (data or b"")
+    return out
+
+
+def _unigram_model(with_bytes):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if with_bytes else [])
+    texts = ["\u2581", "a", "b", "c", "d", "ab", "bc", "abc", "\u2581a", "\u2581ab", "cd", "bcd", "dd", "\u2581b", "cab", "\u2581cab"]
+    pieces += [(t, -1.5 - 0.37 * ((7 * i) % 11) - 0.01 * i, 1) for i, t in enumerate(texts)] + [("[x]", 0.0, 4)]
+    model = b"".join(_message((1, _message((1, t.encode()), (2, float(w)), (3, k)))) for t, w, k in pieces)
+    trainer = _message((3, 1)) + (b"\x98\x02\x01" if with_bytes else b"")  # field 35: byte fallback
+    return model + _message((2, trainer)) + _message((3, _message((1, b"identity"), (3, 1), (4, 1), (5, 1))))
+
+
+@pytest.mark.parametrize("with_bytes", [False, True])
+def test_unigram_equals_the_library(with_bytes):
+    import sentencepiece
+
+    model = _unigram_model(with_bytes)
+    t, lib, rng = subwords.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(6)
+    for text in ["", "a", "zz top", "ab\u00e9\u00e9cd", "[x]a[x]", *("".join(rng.choice("abcd z\u00e9\ud55c") for _ in range(rng.randrange(1, 25))) for _ in range(800))]:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == lib.encode(text), text
+
+
+def test_subword_columns(spark, sf, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    for r in queries.op3_sentencepiece(spark, sf).collect():
+        ids = lib.encode(texts[r.doc_id])
+        assert (r.n_ids, r.n_fallback) == (len(ids), sum(lib.is_byte(i) for i in ids))
+        assert r.ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes()) and r.round_trip == (lib.decode(ids) == texts[r.doc_id])
