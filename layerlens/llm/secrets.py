@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,17 +33,35 @@ THRESHOLD = 0.6
 #: What a literal of one class of characters is worth: enough under a fully sensitive name, too little under a weak one.
 ONE_CLASS = 0.8
 
-_HINT = re.compile(r"passw|passphrase|pwd|secret|token|key|credential|bearer|auth", re.IGNORECASE)
+#: A text without any of these words in any case has no name that scores, one without these signs no pair.
+_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "api", "access", "private", "signing", "encryption")
+_ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-#: A pair that begins its line, after export or a list's dash, is a configuration entry.
-_PAIR = re.compile(rf"""(?P<entry>^[\x20\t]*+(?:(?:export|set|-)[\x20\t]++)?)?(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*(?=["'A-Za-z0-9+/_!@#$%^&*~?.-])""", re.MULTILINE)
-_QUOTED = r"""[bruf]{0,2}"(?P<dq>(?:[^"\\\n]|\\.)*+)"|[bruf]{0,2}'(?P<sq>(?:[^'\\\n]|\\.)*+)'"""
-#: Bare values run to white space or a separator; those of configuration entries to white space, less what closes a list or
-#: statement, unless they are calls or subscripts.
-_VALUE = re.compile(rf"""{_QUOTED}|(?P<bare>[A-Za-z0-9+/_.=!@#$%^*~?-]+)""")
-_ENTRY = re.compile(rf"""{_QUOTED}|(?!["']|[A-Za-z_][A-Za-z0-9_.]*+(?:\([^\n()]*+\)|\[[^\n\[\]]*+\]))(?P<bare>[^\s,;)\]}}]++(?:[,;)\]}}]++[^\s,;)\]}}]++)*+)|(?P<cut>[A-Za-z0-9+/_.=!@#$%^*~?-]+)""")
-_ESCAPE = re.compile(r"\\(.)")
-_JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.)[\x20\t]*|[\x20\t]+(?=[\"'])")
+_QUOTED = r"""(?<![A-Za-z0-9_])[bBrRuUfF]{0,2}(?:"{3}(?P<t1>(?s:.*?))(?:"{3}|\Z)|'{3}(?P<t2>(?s:.*?))(?:'{3}|\Z)|"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>(?:[^`\\\n]|\\.)*+)`)"""
+#: The lexer: comments and loose strings are passed over, so what stands in them is no pair; an element or a key and value
+#: attribute is a pair by itself; a name with its sign opens one.
+_LEX = re.compile(
+    rf"""(?P<comment>(?:^|(?<=\s))(?:\#|//|--\x20)[^\n]*|/\*(?s:.*?)(?:\*/|\Z)|<!--(?s:.*?)(?:-->|\Z))"""
+    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]+)</(?P=tag)>"""
+    rf"""|<[A-Za-z][^<>\n]*?\s(?:key|name|id)\s*=\s*(?P<kq>["'])(?P<attr>{_NAME})(?P=kq)[^<>\n]*?\svalue\s*=\s*(?P<vq>["'])(?P<given>[^"'<>\n]*)(?P=vq)"""
+    rf"""|(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?![=~])|:(?![:/]))[\x20\t]*"""
+    rf"""|(?P<loose>{_QUOTED})""",
+    re.MULTILINE,
+)
+_STRING = re.compile(_QUOTED)
+#: What opens a line's configuration entry: nothing, a declaration's word or a list's dash.
+_ENTRY = re.compile(r"[\x20\t]*(?:(?:export|set|-)[\x20\t]+)?")
+#: Bare values run to white space or a separator; those of entries to white space, less what closes a list or statement.
+_BARE = re.compile(r"[A-Za-z0-9+/_.=!@#$%^*~?{}-]+")
+_BARE_ENTRY = re.compile(r"[^\s,;)\]}]++(?:[,;)\]}]++[^\s,;)\]}]++)*+\}?")
+_CALL = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*(?:\([^\n]{0,200}\)|\[[^\n]{0,200}\])")
+#: A name that a sign joins to a string, and a type between a name and its value.
+_TERM = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*(?=[\x20\t]*(?:\+|\.\.)[\x20\t]*[\"'])")
+_TYPED = re.compile(r"[A-Za-z_][A-Za-z0-9_.<>?]*[\x20\t]*=[\x20\t]*(?=[\"'`])")
+_ESCAPE = re.compile(r"\\(.)", re.DOTALL)
+_JOIN = re.compile(r"[\x20\t]*(?:\+(?!=)|\.\.)[\x20\t]*(?:\\?\n[\x20\t]*)?|[\x20\t]+(?=[\"'])")
+_REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)|%\(([A-Za-z_][A-Za-z0-9_.]*)\)s|\{([A-Za-z_][A-Za-z0-9_.]*)\}")
+_LINE = re.compile(r"\n([\x20\t]*)(?=[^\s]|\Z)|[{}]")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -63,51 +84,190 @@ def value_score(value: str) -> float:
     return min(1.0, entropy / 3.0) * (1.0 if mixed > 1 else ONE_CLASS)
 
 
+#: Part of an expression: start and end, the literal's value, and the name it refers to, if it is one.
+Part = tuple[int, int, str, str | None]
+#: Characters of a joined value that are scored.
+SCORED = 10_000
+
+
+@dataclass
+class Pair:
+    """A name bound to an expression in a scope."""
+
+    name: str
+    scope: tuple[int, ...]
+    parts: list[Part]
+
+
+class Scopes:
+    """Blocks by braces and by indentation: a path of the blocks that are open, each with a number of its own."""
+
+    def __init__(self, text: str):
+        margin = len(text) - len(text.lstrip(" \t"))
+        self.open: list[tuple[int, int]] = []  # indentation (-1: a brace), number
+        self.made, self.margin = 0, margin
+
+    def _indent(self, width: int) -> None:
+        while self.open and self.open[-1][0] > width:
+            self.open.pop()
+        if width > (self.open[-1][0] if self.open else self.margin) and not (self.open and self.open[-1][0] < 0):
+            self.made += 1
+            self.open.append((width, self.made))
+
+    def read(self, gap: str) -> tuple[int, ...]:
+        for m in _LINE.finditer(gap):
+            if m[0] == "{":
+                self.made += 1
+                self.open.append((-1, self.made))
+            elif m[0] == "}":
+                while self.open and self.open.pop()[0] >= 0:
+                    pass
+            else:
+                self._indent(len(m[1].expandtabs(4)))
+        return tuple(number for _, number in self.open)
+
+
+def _parts(text: str, start: int, end: int, refers: bool, escapes: bool) -> list[Part]:
+    """A literal's own text, and the names that stand in it for others."""
+    out: list[Part] = []
+    at = start
+    for m in _REFERENCE.finditer(text, start, end) if refers else ():
+        out += [(at, m.start(), text[at : m.start()], None)] if at < m.start() else []
+        out.append((*m.span(), "", next(filter(None, m.groups()))))
+        at = m.end()
+    out += [(at, end, text[at:end], None)] if at < end or not out else []
+    return [(a, b, _ESCAPE.sub(r"\1", v), r) for a, b, v, r in out] if escapes else out
+
+
+def _value(text: str, at: int, entry: bool) -> tuple[list[Part], int]:
+    """The expression from there on, and where it ends: literals and names, joined by signs or side by side."""
+    parts: list[Part] = []
+    end = at
+    if m := _TYPED.match(text, at):
+        at = m.end()
+    while True:
+        bare = False
+        if m := _STRING.match(text, at):
+            kind, mark = m.lastgroup, text[m.start() : m.start(m.lastgroup)].lower()
+            parts += _parts(text, *m.span(kind), refers="f" in mark or kind == "bq" or kind == "dq" and "$" in m[kind], escapes="r" not in mark)
+        elif m := _TERM.match(text, at):
+            parts.append((*m.span(), m[0], m[0]))
+        elif _CALL.match(text, at):
+            return parts, end  # what a call or a subscript gives isn't known
+        elif m := (_BARE_ENTRY if entry and not parts else _BARE).match(text, at):
+            bare, named = True, re.fullmatch(_NAME, m[0])
+            if named and parts and not any(c.isdigit() for c in m[0]):
+                parts.append((*m.span(), "", m[0]))
+            else:
+                parts += [(*m.span(), m[0], m[0])] if named else _parts(text, *m.span(), refers=True, escapes=False)
+        else:
+            return parts, end
+        end = m.end()
+        j = _JOIN.match(text, end)
+        if not j or bare and not j[0].strip():
+            return parts, end
+        at = j.end()
+
+
+def pairs(text: str) -> list[Pair]:
+    """The name-literal pairs of source code and configuration, in the order of the text."""
+    out, scopes, at, done = [], Scopes(text), 0, 0
+    while m := _LEX.search(text, at):
+        at = max(m.end(), at + 1)
+        scope, done = scopes.read(text[done : m.start()]), m.start()
+        if m["comment"] is not None or m["loose"] is not None:
+            done = m.end()
+        elif m["tag"] is not None:
+            out.append(Pair(m["tag"], scope, _parts(text, *m.span("inner"), refers=True, escapes=False)))
+        elif m["attr"] is not None:
+            out.append(Pair(m["attr"], scope, _parts(text, *m.span("given"), refers=True, escapes=False)))
+        else:
+            line = text.rfind("\n", 0, m.start()) + 1
+            parts, end = _value(text, m.end(), bool(_ENTRY.fullmatch(text, line, m.start())))
+            if parts:
+                out.append(Pair(m["name"], scope, parts))
+                at = done = max(at, end)
+    return out
+
+
+def _plain(name: str) -> str:
+    return name.removeprefix("self.").removeprefix("this.")
+
+
+def _links(every: list[Pair]) -> list[list[int | None]]:
+    """For each pair's parts, the pair that the part's name is bound by: the latest one before it of that name in an open
+    block, else the first one after it."""
+    bound: dict[str, list[int]] = {}
+    for i, p in enumerate(every):
+        bound.setdefault(_plain(p.name), []).append(i)
+
+    def binding(name: str, at: int) -> int | None:
+        places, open_ = bound.get(_plain(name), []), every[at].scope
+        k = bisect_left(places, at)
+        for i in chain(map(places.__getitem__, range(k - 1, -1, -1)), map(places.__getitem__, range(k, len(places)))):
+            if i != at and every[i].scope == open_[: len(every[i].scope)]:
+                return i
+        return None
+
+    return [[None if r is None else binding(r, i) for *_, r in p.parts] for i, p in enumerate(every)]
+
+
+def _values(every: list[Pair], links: list[list[int | None]]) -> list[str]:
+    """Each pair's value with constants propagated; a name that reaches itself adds nothing."""
+    values: list[str | None] = [None] * len(every)
+    for first in range(len(every)):
+        todo, begun = [first], set()
+        while todo:
+            i = todo[-1]
+            missing = [j for j in links[i] if j is not None and values[j] is None and j not in begun] if values[i] is None and i not in begun else []
+            begun.add(i)
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            if values[i] is None:
+                said = (v if r is None or j is None and len(every[i].parts) == 1 else values[j] or "" if j is not None else "" for (_, _, v, r), j in zip(every[i].parts, links[i], strict=True))
+                values[i] = "".join(said)[:SCORED]
+    return [v or "" for v in values]
+
+
 def assigned_literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals whose value reaches a sensitive name, directly or through constants.
 
-    Lexes name-literal pairs in order; quoted literals may hold escapes, bare ones end at white space, and outside
-    configuration entries at separators too.  A pair's right side is a literal, a name bound earlier, or a concatenation of them;
-    it binds the target to the literals' spans and value.  Each sensitive target scores those spans by its own name and the
-    whole value; a span's score is the best of its targets.
+    A pair's value is that of its literals and of the names in it, see _links; a name bound nowhere is a bare literal where
+    it stands alone, and nothing within a longer expression.  Each sensitive target scores all the literals that reach it by
+    its own name and its value (of a joined one the first SCORED characters); a literal's score is the best of its targets'.
     """
-    if not _HINT.search(text):
+    low = text.lower()
+    if not any(x in low for x in _HINTS) or not any(x in text for x in "=:>"):
+        return []
+    every = pairs(text)
+    targets = [(name, i) for i, p in enumerate(every) if (name := name_score(p.name)) >= THRESHOLD]
+    if not targets:
         return []
-    bound: dict[str, tuple[tuple[tuple[int, int], ...], str]] = {}
+    links = _links(every)
+    values = _values(every, links)
     found: dict[tuple[int, int], float] = {}
-    for pair in _PAIR.finditer(text):
-        at, spans, value = pair.end(), [], ""
-        while m := (_VALUE if pair["entry"] is None or spans else _ENTRY).match(text, at):
-            kind = m.lastgroup
-            bare = kind in ("bare", "cut")
-            if bare and m[kind] in bound:
-                more, said = bound[m[kind]]
-                spans += more
-                value += said
-            elif not bare or not spans or any(c.isdigit() for c in m[kind]):
-                spans.append(m.span(kind))
-                value += m[kind] if bare else _ESCAPE.sub(r"\1", m[kind])
-            else:
-                break
-            j = _JOIN.match(text, m.end())
-            if not j or bare and "+" not in j[0] and ".." not in j[0]:
-                break
-            at = j.end()
-        if not spans:
-            continue
-        bound[pair["name"]] = (tuple(spans), value)
-        score = name_score(pair["name"]) * value_score(value)
-        if score >= THRESHOLD:
-            for span in spans:
-                if span[0] < span[1]:
-                    found[span] = max(score, found.get(span, 0.0))
+    reached: set[int] = set()
+    for score, i in sorted(((name * value_score(values[i]), i) for name, i in targets), reverse=True):
+        todo = [i] if score >= THRESHOLD else []
+        while todo:
+            if (at := todo.pop()) in reached:
+                continue
+            reached.add(at)
+            for (a, b, v, r), j in zip(every[at].parts, links[at], strict=True):
+                if j is not None:
+                    todo.append(j)
+                elif a < b and v and (r is None or len(every[at].parts) == 1):
+                    found.setdefault((a, b), score)
     return sorted((a, b, s) for (a, b), s in found.items())
 
 
 def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
     """Spans (kind, start, end) by start and kind, and the spans of the secret values in them."""
     spans, values = [], []
-    for m in ASSIGN.finditer(text):
+    low = text.lower()
+    for m in ASSIGN.finditer(text) if any(x in low for x in _ASSIGN_HINTS) else ():
         if len(m[2]) >= 6:
             spans.append(("assign", *m.span()))
             values.append(m.span(2))

@@ -389,3 +389,42 @@ def test_subword_columns(spark, sf, texts):
         ids = lib.encode(texts[r.doc_id])
         assert (r.n_ids, r.n_fallback) == (len(ids), sum(lib.is_byte(i) for i in ids))
         assert r.ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes()) and r.round_trip == (lib.decode(ids) == texts[r.doc_id])
+
+
+def _found(text):
+    return [text[a:b] for a, b, _ in secrets.assigned_literals(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('private_api_access_signing = "Zq81kkPw02"', ["Zq81kkPw02"]),
+        ('base = "hunter2Zq9"\ndb_password=base+"tail!!9"', ["hunter2Zq9", "tail!!9"]),
+        ("A=hunter2Zq9\nDB_PASSWORD=$A\nOTHER=1", ["hunter2Zq9"]),
+        ('a: hunter2Zq9\ndb_passwd: "${a}"', ["hunter2Zq9"]),
+        ('part = "hunter2Zq9"\ndb_password = f"x-{part}!"', ["hunter2Zq9", "x-", "!"]),
+        ('db_password = """hunter2Zq9\nsecond line"""', ["hunter2Zq9\nsecond line"]),
+        ("<config><db_password>hunter2Zq9</db_password></config>", ["hunter2Zq9"]),
+        ('<add key="db_password" value="hunter2Zq9"/>', ["hunter2Zq9"]),
+        ('db_password = base\nbase = "hunter2Zq9"', ["hunter2Zq9"]),
+        ('note = "db_password = hunter2Zq9"', []),
+        ("# db_pwd = 'hunter2Zq9'\n// db_pwd = 'hunter2Zq9'\n/* db_pwd = 'hunter2Zq9' */", []),
+        ('def f():\n    x = "hunter2Zq9"\ndef g():\n    db_pwd = x + "abc"\n', []),
+        ('x = "hunter2Zq9"\ndef g():\n    db_pwd = x + ""\n', ["hunter2Zq9"]),
+        ('function f() { let x = "hunter2Zq9"; }\nfunction g() { db_pwd = x + ""; }', []),
+        ('const db_pwd: string = "hunter2Zq9";', ["hunter2Zq9"]),
+        ('db_pwd = os.environ["DB_PWD_NAME"]\ndb_pwd2 = getenv("SOMETHING1")', []),
+        ("a1 = a2\na2 = a1\nsecret_key = a1", ["a1"][:0]),
+        ("it\u2019s and don't use 'db_pwd = x' or won't", []),
+    ],
+)
+def test_secret_lexer(text, want):
+    assert _found(text) == want
+
+
+def test_secret_lexer_on_long_chains():
+    n = 3000
+    down = "a0 = 'hunter2Zq9'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(n)) + f"db_password = a{n}"
+    up = f"db_password = a{n}\n" + "".join(f"a{i + 1} = a{i} + ''\n" for i in reversed(range(n))) + "a0 = 'hunter2Zq9'\n"
+    assert _found(down) == _found(up) == ["hunter2Zq9"]
+    assert _found("key = key\n" * 20_000 + "token: abcDEF123") == ["abcDEF123"]
