@@ -17,13 +17,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-#: A term is generalised from this share of an entity's information on, removed from the other.
+#: A term is generalised from this share of an entity's information on, removed from the other, or if none of its
+#: beginnings tells less.
 GENERALISE, REMOVE = 0.8, 0.95
 #: Documents' worth of the corpus mixed into what is counted of an entity: few documents then tell less than many.
 PRIOR = 1.0
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
-_TERMS = "array<struct<start:int,end:int,term:string,disclosure:double>>"
+_TERMS = "array<struct<start:int,end:int,term:string,disclosure:double,general:string>>"
+#: Letters kept of a generalised term: the most for which the beginning is common enough.
+BEGINNINGS = (4, 3, 2, 1)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -80,14 +83,15 @@ def terms_of(text: Column) -> Column:
 
 
 def occurrences(text: Column, told: Column, base: Column) -> Column:
-    """array<struct<start, end, term, disclosure>>: every place of the terms of told (term, disclosure) that touches no span of base."""
+    """array<struct<start, end, term, disclosure, general>>: every place of the terms of told that touches no span of base."""
     terms = F.transform(told, lambda x: x["term"])
     clear = lambda begin, end: ~F.exists(base, lambda b: (b["start"] < end) & (begin < b["end"]))
 
     def walked(found: Column, gaps: Column, terms: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
             def at(p: Column) -> Column:
-                put = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["term"].alias("term"), F.get(told, F.array_position(terms, p["term"]).cast("int") - 1)["disclosure"].alias("disclosure"))
+                known = F.get(told, F.array_position(terms, p["term"]).cast("int") - 1)
+                put = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["term"].alias("term"), known["disclosure"].alias("disclosure"), known["general"].alias("general"))
                 hit = F.array_contains(terms, p["term"]) & clear(p["start"], p["end"])
                 return F.struct(p["end"].alias("at"), F.when(hit, F.concat(a["out"], F.array(put))).otherwise(a["out"]).alias("out"))
 
@@ -102,7 +106,8 @@ def occurrences(text: Column, told: Column, base: Column) -> Column:
 
 
 def disclosures(work: Scratch, found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
-    """(row, term, disclosure): the terms of each row of found that disclose at least `generalise` of one of its entities.
+    """(row, term, disclosure, general): the terms of each row of found that disclose at least `generalise` of one of its
+    entities, and what each may be generalised to.
 
     With document frequencies over all of docs: information of entity c is log2(N / df(c)), what term t tells of it is their
     pointwise mutual information log2(P(t | c) / P(t)), with P(t) = df(t) / N and P(t | c) = (df(c, t) + prior P(t)) /
@@ -110,13 +115,17 @@ def disclosures(work: Scratch, found: DataFrame, docs: DataFrame, text_col: str
 
     As P(t | c) is at most 1, only terms with df(t) <= N^(1 - generalise) df(c)^generalise can reach `generalise`; no others
     are paired.  Entities that stand in the same documents, told by two sums of hashes, have the same answer and are one.
+
+    A term's generalisations are its beginnings.  One stands in as many documents as the commonest term that begins so, at
+    least, so it tells at most log2(N / df) of an entity; `general` is the longest that stays under `generalise` for all
+    entities of the row, null if none does.
     """
     n = float(docs.count())
     entities = found.select("row", F.explode(F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("row", "x.*")
     places = lambda seed: F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(20,0)"))
     entity = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_c"), places(1).alias("a"), places(2).alias("b"))
     group = entities.join(entity.where(F.col("df_c") < n), ["kind", "value"]).select("row", "df_c", "a", "b").distinct()
-    term = docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    term = work.table(docs.select(F.explode(terms_of(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t")), "terms")
     held = found.select("row", F.explode(terms_of(F.col("text"))).alias("term")).join(term, "term")
     rare = F.col("df_t") <= F.pow(F.lit(n), 1 - generalise) * F.pow("df_c", F.lit(generalise)) * (1 + 1e-9)
     pairs = work.table(held.join(group, "row").where(rare), "pairs")
@@ -124,11 +133,18 @@ def disclosures(work: Scratch, found: DataFrame, docs: DataFrame, text_col: str
     told = F.log2((F.col("df_ct") + prior * share) / (F.col("df_c") + prior) / share) / F.log2(n / F.col("df_c"))
     pair = pairs.groupBy("df_c", "a", "b", "term", "df_t").agg(F.count(F.lit(1)).alias("df_ct")).withColumn("disclosure", F.least(F.lit(1.0), told))
     hit = pairs.join(pair.where(F.col("disclosure") >= generalise).select("df_c", "a", "b", "term", "disclosure"), ["df_c", "a", "b", "term"])
-    return hit.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = work.table(hit.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure")), "told")
+
+    begins = lambda: F.explode(F.array_compact(F.array(*(F.when(F.length("term") > k, F.substring("term", 1, k)) for k in BEGINNINGS)))).alias("begin")
+    common = term.select("df_t", begins()).groupBy("begin").agg(F.max("df_t").alias("df_b"))
+    needs = told.join(group.groupBy("row").agg(F.max("df_c").alias("df_c")), "row").select("row", "term", "df_c", begins())
+    fits = F.col("df_b") > F.pow(F.lit(n), 1 - generalise) * F.pow("df_c", F.lit(generalise)) * (1 + 1e-9)
+    general = needs.join(common, "begin").where(fits).groupBy("row", "term").agg(F.max_by("begin", F.length("begin")).alias("general"))
+    return told.join(general, ["row", "term"], "left")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
-    """One row per row of docs: id, key, base (spans), terms (spans with their disclosure).
+    """One row per row of docs: id, key, base (spans), terms (spans with their disclosure and generalisation).
 
     Base: email, ip, card and phone by fixed patterns.  Method: information-theoretic sanitisation.  Terms that disclose an
     entity, see disclosures(), are marked wherever they stand in each document that holds the entity.
@@ -143,22 +159,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     found = work.table(rows.select("id", key.alias("key"), "base", held.alias("text"), F.monotonically_increasing_id().alias("row")), "found")
     some, none_found = found.where("key is not null"), found.where("key is null")
 
-    told = disclosures(work, some, docs, text_col, generalise, prior).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    told = disclosures(work, some, docs, text_col, generalise, prior).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "disclosure", "general"))).alias("told"))
     empty = F.array().cast(_TERMS)
     terms = F.when(F.col("told").isNull(), empty).otherwise(occurrences(F.col("text"), F.col("told"), F.col("base")))
     out = some.join(told, "row", "left").select("id", "key", "base", terms.alias("terms"))
     return work.result(out.unionByName(none_found.select("id", "key", "base", empty.alias("terms"))).withColumnRenamed("id", id_col))
 
 
+def is_removed(term: Column, remove: float = REMOVE) -> Column:
+    return (term["disclosure"] >= remove) | term["general"].isNull()
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE) -> DataFrame:
-    """docs with base spans replaced by their kind, disclosing terms by [TERM], or by nothing from `remove` on."""
+    """docs with base spans replaced by their kind, and disclosing terms by their generalisation (a beginning and a star), or
+    by nothing from `remove` on and where no beginning will do.
+
+    Defined results: null and empty texts stay as they are; repeated rows get the same answer each; an empty table gives no
+    rows; other columns stay, whatever their names.
+    """
     found = find_pii(docs, id_col, text_col).where(F.size("base") > 0).select("key", "base", "terms").dropDuplicates(["key"])
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_of(text_col)), 256)
 
     def rewritten(text: Column, base: Column, terms: Column) -> Column:
         marks = F.array_sort(F.concat(
             F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("by"))),
-            F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove, "").otherwise("[TERM]").alias("by"))),
+            F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(is_removed(t, remove), "").otherwise(F.concat(t["general"], F.lit("*"))).alias("by"))),
         ))
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         step = lambda a, m: F.when(m["start"] >= a["at"], F.struct(m["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, m["start"] - a["at"]), m["by"]).alias("out"))).otherwise(F.struct(F.greatest(a["at"], m["end"]).alias("at"), a["out"].alias("out")))

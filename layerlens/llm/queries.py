@@ -46,9 +46,10 @@ def _is(kind: str):
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
-    base, terms = pii.listed(F.col("base")), pii.listed(F.col("terms"), F.lit("term"))
+    base = pii.listed(F.col("base"))
+    parts = [base, pii.listed(F.filter("terms", lambda t: ~pii.is_removed(t)), F.lit("generalise")), pii.listed(F.filter("terms", lambda t: pii.is_removed(t)), F.lit("remove"))]
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat(base, F.when((F.size("base") > 0) & (F.size("terms") > 0), ",").otherwise(""), terms).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.array_remove(F.array(*parts), ""), ",").alias("spans"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

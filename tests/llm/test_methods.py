@@ -1,6 +1,7 @@
 """Operators against plain versions of what they must give."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from layerlens.llm import common, html, jaccard, licenses, packing, pii, quality, queries, secrets, subwords, toxicity
@@ -218,6 +220,52 @@ def test_pii_terms_that_disclose(spark):
     assert "Zanzibor" not in clean and "[EMAIL]" in clean and "weather" in clean
 
 
+def test_pii_equals_brute_force(spark, sf, texts):
+    """Counts, spans, disclosures and generalisations of all documents, from plain sets of documents."""
+    n = len(texts)
+    terms = {i: set(x.lower() for x in regex.findall(r"\p{L}{3,}", t or "")) for i, t in texts.items()}
+    base = {i: [(k, m.start(), m.end(), m[0]) for k, p in PII.items() for m in re.finditer(p, t or "") if _sound(k, m[0])] for i, t in texts.items()}
+    df, held = Counter(x for s in terms.values() for x in s), defaultdict(set)
+    for i, spans in base.items():
+        for k, _, _, v in spans:
+            held[k, v].add(i)
+    common = Counter()
+    for x, c in df.items():
+        for k in range(1, min(5, len(x))):
+            common[x[:k]] = max(common[x[:k]], c)
+    want = {}
+    for i, spans in base.items():
+        own = {(k, v) for k, _, _, v in spans}
+        for x in terms[i]:
+            best = 0.0
+            for c in own:
+                docs = held[c]
+                if len(docs) < n:
+                    share = df[x] / n
+                    both = sum(x in terms[j] for j in docs)
+                    best = max(best, min(1.0, math.log2((both + pii.PRIOR * share) / (len(docs) + pii.PRIOR) / share) / math.log2(n / len(docs))) if both else 0.0)
+            if best >= pii.GENERALISE:
+                most = max(len(held[c]) for c in own if len(held[c]) < n)
+                fits = [x[:k] for k in pii.BEGINNINGS if len(x) > k and common[x[:k]] > n ** (1 - pii.GENERALISE) * most**pii.GENERALISE]
+                want[i, x] = (round(best, 9), fits[0] if fits else None)
+    got = {}
+    for r in pii.find_pii(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        assert [(s.kind, s.start, s.end, s.value) for s in r.base] == base[r.doc_id]
+        for s in r.terms:
+            assert texts[r.doc_id][s.start : s.end].lower() == s.term
+            got[r.doc_id, s.term] = (round(s.disclosure, 9), s.general)
+    clear = {(i, x): v for (i, x), v in want.items() if any(m[0].lower() == x and not any(b < m.end() and m.start() < e for _, b, e, _ in base[i]) for m in regex.finditer(r"\p{L}{3,}", texts[i]))}
+    assert got == clear and len(got) > 100
+    kinds = Counter()
+    for r in queries.op5_pii(spark, sf).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        listed = [x for x in spans if x[0] in PII]
+        assert spans[: len(listed)] == listed and hashlib.sha256(",".join(map(":".join, listed)).encode()).hexdigest() == r.base_sha256
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in listed) for k in PII]
+        kinds.update(x[0] for x in spans)
+    assert kinds["generalise"] and kinds["remove"]
+
+
 def test_pii_terms_of_rare_entities(spark):
     rows = [(0, "Zanzibor Quill wrote at zq@mail.example about the weather")]
     rows += [(10 + i, f"the plan about the weather or what one wrote at hand {i}") for i in range(60)]
