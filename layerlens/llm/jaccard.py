@@ -158,7 +158,7 @@ def _tokens(docs: DataFrame, wanted, wanted_bits: int, n: int, percent: int, bit
 
 
 def _some_tokens(prefixes: DataFrame, shared, shared_bits: int) -> DataFrame:
-    """The places (id, size, signature, at, token) of prefixes whose token may be shared."""
+    """The places (id, size, at, token) of prefixes whose token may be shared."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -169,9 +169,9 @@ def _some_tokens(prefixes: DataFrame, shared, shared_bits: int) -> DataFrame:
             keep = may_hold(shared.value, (token.view(np.uint64) >> np.uint64(64 - shared_bits)).astype(np.int64))
             row = np.repeat(np.arange(len(frame)), counts)[keep]
             at = (np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts))[keep]
-            yield frame[["id", "size", "signature"]].iloc[row].assign(at=at, token=token[keep])
+            yield frame[["id", "size"]].iloc[row].assign(at=at, token=token[keep])
 
-    return prefixes.mapInPandas(build, "id long, size int, signature array<long>, at int, token long")
+    return prefixes.select("id", "size", "first").mapInPandas(build, "id long, size int, at int, token long")
 
 
 def _share(a: np.ndarray, b: np.ndarray) -> int:
@@ -213,12 +213,12 @@ def _reachable(size_a: Column, at_a: Column, size_b: Column, at_b: Column, perce
     return (100 + percent) * F.least(size_a - at_a, size_b - at_b) >= percent * (size_a + size_b)
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Length and positional filters, and the signatures: two sets differ in at least as many tokens as their signatures in
-    bits, and linked sets in at most (100 - t) / (100 + t) of their sizes' sum."""
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Two sets differ in at least as many tokens as their signatures in bits, and linked sets in at most (100 - t) /
+    (100 + t) of their sizes' sum."""
     c = lambda name, side: F.col(f"{name}{side}")
     apart = reduce(add, (F.bit_count(c("signature", a)[k].bitwiseXOR(c("signature", b)[k])) for k in range(SIGNATURE)))
-    return _reachable(c("size", a), c("at", a), c("size", b), c("at", b), percent) & ((100 + percent) * apart <= (100 - percent) * (c("size", a) + c("size", b)))
+    return (100 + percent) * apart <= (100 - percent) * (c("size", a) + c("size", b))
 
 
 def _star(posts: DataFrame, percent: int) -> DataFrame:
@@ -227,9 +227,9 @@ def _star(posts: DataFrame, percent: int) -> DataFrame:
     A token's leader is the one before whose place for it stand the fewest rarer tokens: of a family of copies, one with the
     least of its own, which most others link to.
     """
-    lead = posts.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "size", "signature")).alias("l"))
-    lead = lead.select("token", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("id", "at", "size", "signature")))
-    met = posts.join(lead, "token").where((F.col("id") != F.col("id_l")) & _near("", "_l", percent))
+    lead = posts.groupBy("token").agg(F.min(F.struct("at", F.xxhash64("id").alias("h"), "id", "size")).alias("l"))
+    lead = lead.select("token", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("id", "at", "size")))
+    met = posts.join(lead, "token").where((F.col("id") != F.col("id_l")) & _reachable(*map(F.col, ("size", "at", "size_l", "at_l")), percent))
     return met.select(F.col("id_l").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -249,7 +249,8 @@ def _pairs(rest: DataFrame, percent: int) -> DataFrame:
     side = lambda s: rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "at", "label", "signature")), F.col("common").alias(f"common_{s}"))
     other = side("b").where("label_b <> common_b")
     once = (F.col("label_a") == F.col("common_a")) | (F.col("id_a") < F.col("id_b"))
-    met = side("a").join(other, "token").where((F.col("label_a") != F.col("label_b")) & once & _near("_a", "_b", percent))
+    near = _reachable(*map(F.col, ("size_a", "at_a", "size_b", "at_b")), percent) & _alike("_a", "_b", percent)
+    met = side("a").join(other, "token").where((F.col("label_a") != F.col("label_b")) & once & near)
     return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -295,6 +296,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     width = filter_bits(shared.count())
     some = spark.sparkContext.broadcast(membership(shared, "token", width))
     posts = work.table(_some_tokens(prefixes, some, width).join(shared, "token", "left_semi"), "posts")
+    signatures = work.table(prefixes.select("id", "signature"), "signatures")
     work.drop("prefixes", "shared")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
@@ -305,8 +307,8 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         return links
 
     links = linked(_star(posts, percent), "star")
-    rest = work.table(_mixed_tokens(posts, components(links, work)), "rest")
-    work.drop("posts")
+    rest = work.table(_mixed_tokens(posts, components(links, work)).join(signatures, "id"), "rest")
+    work.drop("posts", "signatures")
     label = components(links.unionByName(linked(_pairs(rest, percent), "rest")), work)
 
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))

@@ -67,14 +67,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(documents(spark, sf_dir))
-    one = F.col("licenses")
-    return found.select(
-        "doc_id",
-        *(one[c].alias(c) for c in ("n_words", "n_base", "first_word", "last_word")),
-        F.array_join(one["base_labels"], ",").alias("base_labels"),
-        F.array_join(one["labels"], ",").alias("labels"),
-        licenses.score(one).alias("score"),
-    )
+    lists = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", *lists, licenses.score(F.col("n_base"), F.col("matches")).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

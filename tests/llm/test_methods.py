@@ -311,31 +311,49 @@ def test_decoding_never_contradicts():
         assert score[keep].sum() >= -1e-9
 
 
-def test_license_matches_equal_all_templates(spark, texts):
-    odd = {1: "Released under the MIT License", 2: "released, under (the) mit-license", 3: "x " * 100 + "Licensed under the Apache License Version 2.0 " + "y " * 90, 4: "general public license mit license", 5: "all rights reserved", 6: "rights all"}
+def test_licenses_equal_brute_force(spark, sf, texts):
+    warranty = dict(licenses.BODIES)
+    odd = {1: "Released under the MIT License", 2: "released, under (the) mit-license", 3: "x " * 100 + "Licensed under the Apache License Version 2.0 " + "y " * 90, 4: "general public license mit license", 5: "all rights reserved", 6: "rights all", 7: None}
+    odd |= {10 + k: "z " * (17 * k) + " ".join(x for i, x in enumerate(t.split()) if i % 9 != k % 9) + " end" * k for k, (_, t) in enumerate(licenses.BODIES)}
+    odd |= {40: "all rights reserved " * 300, 41: " ".join(warranty.values())}
     rows = [*odd.items(), *((1000 + i, t) for i, t in texts.items())]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    every = dict(rows)
-    for r in licenses.license_scan(docs).collect():
-        words = re.findall(licenses.WORD, every[r.doc_id].translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+    every, templates = dict(rows), licenses.TEMPLATES + licenses.BODIES
+    hits = 0
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = licenses.template_words(every[r.doc_id] or "")
         want = set()
-        for at in range(0, max(0, len(words) - 1 - licenses.STRIDE) + 1, licenses.STRIDE):
-            block = set(words[at : at + 2 * licenses.STRIDE])
-            for label, text in licenses.TEMPLATES:
-                tokens = set(licenses.template_tokens(text))
-                if len(block & tokens) >= licenses.THETA * len(tokens) - 1e-9:
+        for label, text in templates:
+            tokens, stride = set(licenses.template_tokens(text)), licenses.stride_of(text)
+            for at in range(0, max(0, len(words) - 1 - stride) + 1, stride):
+                block = set(words[at : at + 2 * stride])
+                if len(block & tokens) >= licenses.THETA * len(tokens) - 1e-9 and tokens & set(licenses.NAMES) <= block:
                     want.add((label, at, round(len(block & tokens) / len(tokens), 9)))
-        got = r.licenses
-        assert {(m.label, m.block, round(m.containment, 9)) for m in got.matches} == want
-        places = [i for i in range(len(words)) for p in licenses.PHRASES if words[i : i + len(p.split())] == p.split()]
-        assert (got.n_words, got.n_base, got.first_word, got.last_word) == (len(words), len(places), min(places, default=None), max(places, default=None))
+        assert {(m.label, m.block, round(m.containment, 9)) for m in r.matches} == want
+        places = [(i, v) for i in range(len(words)) for p, v in licenses.PHRASES.items() if words[i : i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(at, default=None), max(at, default=None))
+        assert r.base_labels == sorted({v for _, v in places}) and r.labels == sorted({v for _, v in places} | {m[0] for m in want})
+        hits += bool(want)
+    assert hits > 15
+    for r in queries.op8_license_scan(spark, sf).collect():
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.n_base == 0 or r.score == 1)
 
 
 def test_license_names_and_bodies(spark):
-    warranty = "x " * 70 + dict(licenses.BODIES)["mit"].upper() + " y" * 70
-    rows = [(1, "Released under the Apache License"), (2, "license the parts under which it was released"), (3, "Licensed under the MIT License"), (4, warranty), (5, dict(licenses.BODIES)["bsd"]), (6, dict(licenses.BODIES)["isc"])]
-    got = {r.doc_id: r.licenses.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ["apache"], 2: [], 3: ["mit"], 4: ["mit"], 5: ["bsd"], 6: ["isc"]}
+    first = lambda label: next(t for x, t in licenses.BODIES if x == label)
+    warranty = "x " * 70 + first("mit").upper() + " y" * 70
+    rows = [(1, "Released under the Apache License"), (2, "license the parts under which it was released"), (3, "Licensed under the MIT License"), (4, warranty), (5, first("bsd")), (6, first("isc")), (7, first("zlib")), (8, first("unlicense"))]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["apache"], 2: [], 3: ["mit"], 4: ["mit"], 5: ["bsd"], 6: ["isc"], 7: ["zlib"], 8: ["unlicense"]}
+
+
+def test_licenses_with_many_templates(spark):
+    """Hundreds of whole licence texts are rows of an index, not parts of the plan."""
+    rng = random.Random(8)
+    many = tuple((f"l{k}", " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 300)))) for k in range(300))
+    rows = [(k, "a " * (k % 70) + many[k][1] + " b" * (k % 50)) for k in range(0, 300, 10)]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=many).collect()}
+    assert got == {k: [f"l{k}"] for k in range(0, 300, 10)}
 
 
 def test_quality_order_never_changes_a_verdict(spark, sf):
