@@ -28,6 +28,10 @@ DISGUISE = ("@4310$5!7", "aaeiossit")
 NEAR = 6
 #: Bounds of the fit: labelled rows used, learned words and stems kept, documents a learned word must stand in.
 TRAIN_ROWS, LEARNED, SUPPORT = 20_000, 2000, 5
+#: Settings of the learned lexicon, log odds and their z score, of which the fit chooses one on training rows.
+SETTINGS = ((1.5, 4.0), (1.0, 3.0), (2.0, 4.0), (1.5, 6.0))
+#: Share of the uncalibrated score in the result: it parts texts that the calibration's steps leave level.
+UNLEVEL = 0.02
 #: Lengths of the word beginnings that are learned besides words, for languages that inflect or compound.
 STEMS = (4, 5, 7)
 
@@ -106,7 +110,7 @@ def features(text: Column, learned: list[str], stems: list[str]) -> Column:
                 (hits / n).alias("abuse_density"), kinds.cast("double").alias("abuse_kinds"), (learned_hits / n).alias("learned_density"), learned_kinds.alias("learned_kinds"),
                 (F.size(d["stemmed"]) / n).alias("stem_density"), stem_kinds.alias("stem_kinds"), (seconds / n).alias("second_person_density"),
                 F.when((F.size(open_) > 0) & (seconds > 0), gap().cast("double")).otherwise(99.0).alias("nearest_you"),
-                (_chars(text, r"\p{Lu}") / F.greatest(F.lit(1.0), _chars(text, r"\p{L}"))).alias("capitals"), (_chars(text, r"\b\p{Lu}{4,}+\b") / n).alias("shouted"),
+                (_chars(text, r"\p{Lu}") / F.greatest(F.lit(1.0), _chars(text, r"\p{L}"))).alias("capitals"), (_chars(text, r"(?<!\p{L})\p{Lu}{4,}+(?!\p{L})") / n).alias("shouted"),
                 (_chars(text, "[!?]") / n).alias("marks"), (_chars(text, "[!?]{2,}+") / n).alias("mark_runs"),
                 (_chars(text, r"\p{L}[0-9@$*!]+\p{L}") / n).alias("obfuscated"), (_chars(text, r"(\p{L})\1\1") / n).alias("drawn_out"), F.log1p(n).alias("log_words"),
             )
@@ -116,15 +120,41 @@ def features(text: Column, learned: list[str], stems: list[str]) -> Column:
     return let(_words(F.lower(text)), measured)
 
 
-def _learned(rows: DataFrame, tokens: Column, keep: int) -> list[str]:
-    """Tokens that stand in toxic training texts far oftener than in others, by log odds over their standard error."""
+def _ranked(rows: DataFrame, tokens: Column) -> DataFrame:
+    """Tokens of the training texts with their log odds of standing in a toxic one, and the odds over their standard error."""
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     one, zero = n.get(1, 0), n.get(0, 0)
     held = rows.select("label", F.explode(tokens).alias("token")).groupBy("token").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (one - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (zero - F.col("b") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = held.where(F.col("a") >= SUPPORT).withColumn("odds", odds).withColumn("z", odds / error).where("odds > 1.5 and z > 4")
-    return sorted(r.token for r in top.orderBy(F.desc("z"), "token").limit(keep).collect())
+    low, z = min(o for o, _ in SETTINGS), min(z for _, z in SETTINGS)
+    return held.where(F.col("a") >= SUPPORT).withColumn("odds", odds).withColumn("z", odds / error).where((F.col("odds") > low) & (F.col("z") > z))
+
+
+def _lexicons(ranked: DataFrame) -> list[list[str]]:
+    """For each setting the LEARNED tokens at most with the highest z."""
+    top = lambda o, z: ranked.where((F.col("odds") > o) & (F.col("z") > z)).orderBy(F.desc("z"), "token").limit(LEARNED).collect()
+    return [sorted(r.token for r in top(o, z)) for o, z in SETTINGS]
+
+
+def _area(counts: dict[tuple[int, int], int]) -> float:
+    """Area under the curve of a score given as (score, label) -> rows; a half without both labels."""
+    one, zero = (sum(n for (_, y), n in counts.items() if y == label) for label in (1, 0))
+    below = won = 0.0
+    for value in sorted({v for v, _ in counts}):
+        a, b = counts.get((value, 1), 0), counts.get((value, 0), 0)
+        won += a * (below + b / 2)
+        below += b
+    return won / (one * zero) if one and zero else 0.5
+
+
+def _chosen(rows: DataFrame, lexicons: list[tuple[list[str], list[str]]]) -> tuple[list[str], list[str]]:
+    """The lexicon whose kinds of words and stems in a text rank these training rows best; the first of equals."""
+    w = F.array_distinct(_words(F.lower("text")))
+    kinds = [let(w, lambda x, k=k: F.size(F.filter(x, lambda y: y.isin(k[0]))) + F.size(_among(x, k[1])) if k[0] else F.size(_among(x, k[1]))) for k in lexicons]
+    seen = rows.select("label", F.posexplode(F.array(*kinds)).alias("setting", "kinds")).groupBy("setting", "kinds", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    areas = [_area({(r.kinds, r.label): r.n for r in seen if r.setting == k}) for k in range(len(lexicons))]
+    return lexicons[areas.index(max(areas))]
 
 
 @dataclass
@@ -135,14 +165,19 @@ class ToxicityModel:
     curve: IsotonicRegressionModel | None
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with `score` (0 to 1); a null text counts as empty; the answer hangs on the text alone."""
+        """docs with `score` (0 to 1), which hangs on the text alone.
+
+        Defined results: a null text counts as empty; repeated rows get the same score each; an empty table gives no rows;
+        other columns stay, whatever their names, and one named score is replaced.
+        """
         if self.trees is None:
             return docs.withColumn("score", F.lit(0.0))
-        x = docs.withColumn("__features", features(text_of(text_col), self.learned, self.stems))
-        rated = self.trees.transform(_vectors(x))
-        rated = rated.withColumn("__raw", vector_to_array("__probability")[1])
-        rated = self.curve.transform(rated) if self.curve is not None else rated.withColumn("__score", F.col("__raw"))
-        return rated.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__score")))).select(*(c for c in docs.columns if c != "score"), "score")
+        kept = [c for c in docs.columns if c != "score"]
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), features(text_of(text_col), self.learned, self.stems).alias("__features"))
+        rated = self.trees.transform(_vectors(rows)).withColumn("__raw", vector_to_array("__probability")[1])
+        level = self.curve.transform(rated) if self.curve is not None else rated.withColumn("__score", F.col("__raw"))
+        mixed = (1 - UNLEVEL) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__score"))) + UNLEVEL * F.col("__raw")
+        return level.select("__row", mixed.alias("__mixed")).select("__row.*", F.col("__mixed").alias("score"))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -154,8 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of labels (id, 0 or 1), learned from at most about train_rows of them, drawn evenly by a hash of the id.
 
     Three parts of the sample, by another hash, teach the lexicons, the trees and the calibration curve, so that none is fit
-    on what another has seen.  The sample is broadcast to find its texts: its size is the documented bound.  A sample with
-    one class only, or none, gives a model that scores 0.
+    on what another has seen; the trees' part also chooses the lexicon's setting.  The sample is broadcast to find its texts:
+    its size is the documented bound.
+
+    Defined results: a sample with one class only, or none, gives a model that scores 0; labels without an id, or other than
+    0 and 1, and labels without a document are left out; of several labels for one id the greatest counts; null texts count
+    as empty; other columns aren't read.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     share = min(1.0, train_rows / max(1, known.count()))
@@ -165,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = work.table(text.join(F.broadcast(drawn), "id").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(10))), "sample")
     lexicon, grown, curve = rows.where("part < 4"), rows.where("part between 4 and 7"), rows.where("part > 7")
     words = _words(F.lower("text"))
-    learned, stems = _learned(lexicon, F.array_distinct(words), LEARNED), _learned(lexicon, _stems(words), LEARNED)
+    ranked = [work.table(_ranked(lexicon, tokens), name) for tokens, name in ((F.array_distinct(words), "words"), (_stems(words), "stems"))]
+    learned, stems = _chosen(grown, list(zip(*map(_lexicons, ranked), strict=True)))
     rated = lambda part: _vectors(part.select("label", features(F.col("text"), learned, stems).alias("__features")))
     train = work.table(rated(grown).withColumn("label", F.col("label").cast("double")), "train").coalesce(4).cache()
     try:

@@ -72,6 +72,18 @@ def test_toxicity_learns(spark):
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in scored)
 
 
+def test_toxicity_scores_odd_rows(spark):
+    rows = [(i, f"you are a stupid idiot number {i}" if i % 2 else f"a calm walk along the river {i}", i % 2) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d, d.select("doc_id", "toxic"), trees=3)
+    names = ["__x", "__features", "__raw", "__probability", "__score", "__row", "score", "label"]
+    odd = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ROWS], f"doc_id long, text string, {', '.join(f'{c} int' for c in names)}")
+    got = model.score(odd)
+    assert sorted(got.columns) == sorted(odd.columns) and got.count() == len(ROWS)
+    assert all(0 <= r.score <= 1 for r in got.collect()) and len({r.score for r in got.where("doc_id = 7").collect()}) == 1
+    assert model.score(odd.limit(0)).count() == 0
+
+
 LARGE = [((1 << 60) + 1, "one text of a large id and more"), ((1 << 60) + 3, "another text of its own here, long enough"), (None, "a third text that has no id at all")]
 
 

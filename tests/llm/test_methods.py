@@ -494,3 +494,49 @@ def test_secret_lexer_on_long_chains():
     up = f"db_password = a{n}\n" + "".join(f"a{i + 1} = a{i} + ''\n" for i in reversed(range(n))) + "a0 = 'hunter2Zq9'\n"
     assert _found(down) == _found(up) == ["hunter2Zq9"]
     assert _found("key = key\n" * 20_000 + "token: abcDEF123") == ["abcDEF123"]
+
+
+def _plain_features(text, learned, stems):
+    """The features by their definitions, word by word."""
+    w = regex.findall(r"[\p{L}\p{N}@$!*]*[\p{L}\p{N}]", text.lower())
+    n, d, abuse, you = max(1, len(w)), set(w), set(toxicity.ABUSE), set(toxicity.SECOND_PERSON)
+    bare = str.maketrans(*toxicity.DISGUISE)
+    masked = lambda x: bool(re.search("[0-9@$!]", x)) and x.translate(bare) in abuse
+    hidden = {x.translate(bare) for x in d if masked(x)}
+    stemmed = [x for x in w if any(x[:k] in stems and len(x) >= k for k in toxicity.STEMS)]
+    a, y = [i for i, x in enumerate(w) if x in abuse], [i for i, x in enumerate(w) if x in you]
+    letters = max(1, len(regex.findall(r"\p{L}", text)))
+    count = lambda p: len(regex.findall(p, text))
+    return (
+        (len(a) + sum(map(masked, w))) / n, len(d & abuse) + len(hidden), sum(x in learned for x in w) / n, len(d & set(learned)), len(stemmed) / n, len(set(stemmed)), len(y) / n,
+        min([99, *(abs(i - j) for i in a for j in y)]), count(r"\p{Lu}") / letters, count(r"(?<!\p{L})\p{Lu}{4,}+(?!\p{L})") / n, count("[!?]") / n, count("[!?]{2,}") / n,
+        count(r"\p{L}[0-9@$*!]+\p{L}") / n, count(r"(\p{L})\1\1") / n, math.log1p(n),
+    )
+
+
+def test_toxicity_features_equal_brute_force(spark, texts):
+    learned, stems = ["the", "and", "ende"], ["stth", "ereou", "thstthe"]
+    odd = ["", "  ", "YOU IDIOT!!! you 1d1ot", "die die die du", "st*pid \u00c9T\u00c9S a@b", "sooo baaad $$$"]
+    rows = [(i, t or "") for i, t in enumerate([*texts.values(), *odd])]
+    df = spark.createDataFrame(rows, "i long, text string").select("i", toxicity.features(F.col("text"), learned, stems).alias("f"))
+    every = dict(rows)
+    for r in df.collect():
+        assert [round(x, 9) for x in r.f] == [round(float(x), 9) for x in _plain_features(every[r.i], learned, stems)], every[r.i][:80]
+
+
+def test_toxicity_never_sees_held_out_labels(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["you idiot", "stupid loser", "a calm walk", "the river", "blorp" if i % 2 else "green"]) for _ in range(12)), i % 2) for i in range(600)]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    got = []
+    for flip in (False, True):
+        at = str(tmp_path / f"t{flip}")
+        spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, 1 - y if flip and held[i] else y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        got.append({r.doc_id: (r.held_out, r.score, r.predicted) for r in queries.op9_toxicity(spark, at).collect()})
+    assert got[0] == got[1] and len(got[0]) == 600
+    assert all(h == held[i] and 0 <= s <= 1 and p == (s >= 0.5) for i, (h, s, p) in got[0].items())
+
+
+def test_area_under_the_curve():
+    assert toxicity._area({(0, 0): 3, (1, 1): 2}) == 1.0 and toxicity._area({(0, 0): 2, (0, 1): 2}) == 0.5 and toxicity._area({(1, 1): 2}) == 0.5
