@@ -300,6 +300,56 @@ def test_html_without_a_model(spark):
     assert [r.main_text for r in got] == ["The & title\n\nOne two three, and more.\n\nSecond bold part.", "", "bare"]
 
 
+SAID = [
+    "The river was calm and the boats lay still along the long quay, as they had for years.", "Nobody in the town could say who had first tied them there, or why the ropes were red.",
+    "On the third morning a letter came, and with it the first real news of the season.", "It spoke of storms, of a broken bridge, and of three men who would not be coming home.",
+    "The mayor read it twice, folded it, and went out to look at the water again.", "By noon everybody knew, and the market closed an hour early, which was not usual.",
+]
+STORY = "".join(f"<p>{x} {y}</p>" for x, y in zip(SAID, SAID[1:], strict=False))
+MENU = "<div><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Contact us</a></li></ul></div>"
+SIDE = "<div><h3>Latest stories</h3><ul><li><a href=1>A new bridge</a></li><li><a href=2>Red ropes sold out</a></li></ul></div>"
+TALK = "<div><h3>Reader opinions</h3><div><b>Anna</b><p>I liked this a lot, thanks.</p></div><div><b>Bert</b><p>Not true at all, the ropes were blue.</p></div></div>"
+BODY, FOOT = f"<h1>The calm river</h1>{STORY}", "<div>&copy; 2020 The Town Paper</div>"
+
+
+@pytest.fixture(scope="module")
+def trees(spark, sf):
+    return html.fit(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title></head><body>{MENU}{SIDE}<div>{BODY}</div>{TALK}{FOOT}</body></html>",
+        f"<html><body><div>{MENU}<div><div>{BODY}</div>{TALK}</div>{SIDE}</div>{FOOT}</body></html>",
+        f"<body><nav><a href=x>Home</a></nav><article><header><h1>The calm river</h1></header>{STORY}</article><footer>me</footer>",
+        f"<head><title>x</title><meta a=b><body><article>{BODY}</article>",
+        f"<html><body><form action=x>{MENU}<div>{BODY}</div>{FOOT}</form></body></html>",
+        f"<html><body><div class=navbar>{MENU}</div><div id=content>{BODY}</div><div class=comments>{TALK}</div><div class=sidebar>{SIDE}</div></body></html>",
+        BODY,
+    ],
+)
+def test_html_pages_without_meaning(trees, page):
+    want = "\n\n".join(["The calm river"] + [f"{x} {y}" for x, y in zip(SAID, SAID[1:], strict=False)])
+    p = html.parse(page)
+    assert html.main_text(p, html.decode(p.parents, trees.log_odds(html.node_features(p)))) == want
+
+
+def test_html_text_outside_blocks(trees):
+    for page, want in (("Hello world bare text", "Hello world bare text"), ("<span>text here</span><p>second</p>", "text here\n\nsecond")):
+        p = html.parse(page)
+        assert html.main_text(p, html.decode(p.parents, trees.log_odds(html.node_features(p)))) == want
+
+
+def test_html_parse_is_linear():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 40_000 + "x", "<div><a>" * 40_000 + "<p>x" * 4000 + "</q>" * 40_000, "<li>x" * 40_000):
+        html.node_features(html.parse(page))
+    assert time.process_time() - began < 20
+
+
 def test_decoding_never_contradicts():
     rng = random.Random(3)
     for _ in range(50):
