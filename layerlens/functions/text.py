@@ -38,8 +38,8 @@ def format_number(n: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Two decimals under 0.1%, else one; <0.01% for what would round to nothing; 0.0% of nothing."""
-    part, whole = part.cast("long"), whole.cast("long")
-    exact = lambda digits: F.floor((part * (200 * 10**digits) + whole) / (whole * 2)).cast("long")
+    part, whole = part.cast("decimal(25,0)"), whole.cast("decimal(25,0)")  # room for the factors below
+    exact = lambda digits: F.floor((part * (200 * 10**digits) + whole) / (whole * 2)).cast("decimal(25,0)")
     shown = lambda digits: F.concat(F.floor(exact(digits) / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((exact(digits) % 10**digits).cast("string"), digits, "0"), F.lit("%"))
     tiny, small = part * 10_000 < whole, part * 1000 < whole
     return F.when(F.coalesce(whole, F.lit(0)) == 0, "0.0%").when((part > 0) & tiny, "<0.01%").when(small, shown(2)).otherwise(shown(1))
@@ -150,17 +150,20 @@ def hex_lines(data: Column, limit: int = 512) -> Column:
     return F.when(F.octet_length(data) > 0, F.transform(starts, line)).otherwise(F.array().cast("array<struct<offset:string,hex:string,text:string>>"))
 
 
-def summarize_names(names: Column, limit: int = 32) -> Column:
-    """Up to two short names as they are, else the first and how many more."""
-    joined = F.array_join(names, ", ")
-    more = F.concat(F.get(names, 0), F.lit(" +"), (F.size(names) - 1).cast("string"))
-    return F.when((F.size(names) <= 2) & (F.length(joined) <= limit), joined).otherwise(more)
+#: Fixed values of the output format: characters of joined names, names listed.
+JOINED, LISTED = 32, 8
 
 
-def list_names(names: Column, limit: int = 8) -> Column:
-    """The first names, and how many more there are."""
-    rest = F.size(names) - limit
-    return F.concat(F.array_join(F.slice(names, 1, limit), ", "), F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
+def summarize_names(names: Column, n: Column | None = None) -> Column:
+    """Up to two short names as they are, else the first and how many more; n, if names are only the first of them."""
+    joined, n = F.array_join(names, ", "), F.size(names) if n is None else n
+    return F.when((n <= 2) & (F.length(joined) <= JOINED), joined).otherwise(F.concat(F.get(names, 0), F.lit(" +"), (n - 1).cast("string")))
+
+
+def list_names(names: Column, n: Column | None = None) -> Column:
+    """The first names, and how many more there are; n, if names are only the first of them."""
+    rest = (F.size(names) if n is None else n) - LISTED
+    return F.concat(F.array_join(F.slice(names, 1, LISTED), ", "), F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
 
 
 def name_parts(name: Column, longest: int = 32, tail: int = 26) -> Column:
@@ -169,12 +172,104 @@ def name_parts(name: Column, longest: int = 32, tail: int = 26) -> Column:
     return F.struct(F.when(cut, F.substring(name, F.lit(1), F.length(name) - tail)).otherwise(name).alias("head"), F.when(cut, F.right(name, F.lit(tail))).otherwise("").alias("tail"))
 
 
-def format_value(value: Column, kind: Column, longest: int = 60) -> Column:
-    """A value for display by its kind: null as a dash, whole numbers grouped, text quoted and cut, the rest as it is."""
-    cut = F.when(F.length(value) > longest, F.concat(F.substring(value, 1, longest), F.lit("…"))).otherwise(value)
+def _digits(value: Column, n: int) -> Column:
+    """A number with n significant digits, without trailing zeros; with an exponent under 1e-6 and from 1e21 on."""
+
+    def shown(e: Column) -> Column:
+        mantissa, power = F.regexp_extract(e, "^(.*)e", 1), F.regexp_extract(e, "e(.*)$", 1).try_cast("int")
+        clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        plain = clean(e.try_cast("decimal(38,16)").cast("string"))
+        return F.when((power >= -6) & (power < 21), plain).otherwise(F.concat(clean(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string")))
+
+    return let(F.format_string(f"%.{n - 1}e", value), shown)
+
+
+#: Fixed value of the output format: characters of a text shown.
+SHOWN = 60
+
+
+def format_value(value: Column, kind: Column) -> Column:
+    """A value given as text, for display by its kind: null as a dash, whole numbers grouped, floats with six digits, times
+    without empty seconds, text quoted and cut, the rest as it is."""
+    cut = F.when(F.length(value) > SHOWN, F.concat(F.substring(value, 1, SHOWN), F.lit("…"))).otherwise(value)
     quoted = F.concat(F.lit('"'), F.replace(F.replace(cut, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     grouped = F.when(value.rlike("^-?0+$"), "0").otherwise(F.format_number(value.try_cast("decimal(38,0)"), 0))
-    return F.when(value.isNull(), "–").when(kind == "integer", grouped).when(kind == "text", quoted).otherwise(value)
+    number = value.try_cast("double")
+    real = F.when(number == 0, "0").when(number == F.floor(number), F.format_number(value.try_cast("decimal(38,0)"), 0)).otherwise(_digits(number, 6))
+    time = F.regexp_replace(value, r"(:00)?\.000$", "")
+    return F.when(value.isNull(), "–").when(kind == "integer", grouped).when(kind == "float", F.coalesce(real, value)).when(kind == "time", time).when(kind == "text", quoted).otherwise(value)
+
+
+#: Fixed value of the format: the offset that a time with zone counts down from, in seconds.
+MAX_OFFSET = 16 * 3600 - 1
+
+
+def time_tz_text(bits: Column) -> Column:
+    """A time with zone: microseconds above 24 bits of an offset; minutes of the offset where it has any."""
+    offset = F.lit(MAX_OFFSET).cast("long") - bits.bitwiseAND(F.lit(0xFFFFFF).cast("long"))
+    two = lambda x: F.lpad(F.floor(x).cast("long").cast("string"), 2, "0")
+    size = F.abs(offset)
+    minutes = F.when(size % 3600 != 0, F.concat(F.lit(":"), two((size / F.lit(60)) % 60))).otherwise("")
+    return F.concat(time_text(F.shiftright(bits, 24), 6), F.when(offset < 0, "-").otherwise("+"), two(size / F.lit(3600)), minutes)
+
+
+#: Type names by what their values are shown and compared as.
+NUMERIC = "^(U?(TINY|SMALL|BIG|HUGE)INT|U?INTEGER|FLOAT|DOUBLE|DECIMAL.*)$"
+TEMPORAL = "^(DATE|TIMESTAMP.*)$"
+TEXT = "^(VARCHAR|UUID|ENUM.*)$"
+
+
+def value_kind(type_: Column) -> Column:
+    """How format_value shows a type's values."""
+    return F.when(type_.rlike("^(FLOAT|DOUBLE|DECIMAL.*)$"), "float").when(type_.rlike(NUMERIC), "integer").when(type_.rlike(TEMPORAL), "time").when(type_.rlike(TEXT), "text").otherwise("other")
+
+
+def typed_value(raw: Column, type_: Column) -> Column:
+    """struct<number, micros, raw>: a statistics text as a number or as microseconds of UTC, by its type; raw if it is neither."""
+    number = F.when(type_.rlike(NUMERIC), raw.try_cast("double"))
+    iso = F.regexp_replace(F.replace(raw, F.lit(" "), F.lit("T")), r"([+-]\d\d)$", "$1:00")
+    zoned = F.when(F.length(raw) == 10, F.concat(raw, F.lit("T00:00:00Z"))).when(iso.rlike(r"[zZ]$|T.*[+-]\d\d:\d\d$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    micros = F.when(type_.rlike(TEMPORAL), F.unix_micros(zoned.try_cast("timestamp")))
+    return F.struct(F.when(~F.isnan(number), number).alias("number"), micros.alias("micros"), F.when((number.isNull() | F.isnan(number)) & micros.isNull(), raw).alias("raw"))
+
+
+def shown_value(raw: Column, type_: Column) -> Column:
+    """A decoded value as text by its type: floats with seven digits, times of day and bytes aside the same as they are."""
+    return F.when(type_ == "FLOAT", F.coalesce(_digits(raw.try_cast("double"), 7), raw)).when(type_ == "BOOLEAN", F.when(raw.isin("1", "true"), "true").otherwise("false")).otherwise(raw)
+
+
+def list_text(items: Column) -> Column:
+    """[a, b]: an array of texts, NULL for null items."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.coalesce(x, F.lit("NULL"))), ", "), F.lit("]"))
+
+
+def pairs_text(pairs: Column, struct: bool) -> Column:
+    """{'k': v, ...} of a struct's or {k=v, ...} of a map's (key, value) pairs of texts, NULL for null values."""
+    one = lambda p: F.concat(F.lit("'"), p["key"], F.lit("': "), F.coalesce(p["value"], F.lit("NULL"))) if struct else F.concat(p["key"], F.lit("="), F.coalesce(p["value"], F.lit("NULL")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, one), ", "), F.lit("}"))
+
+
+def qualified(*names: Column) -> Column:
+    """Names quoted as they need it, joined by dots."""
+    return F.concat_ws(".", *map(quote_name, names))
+
+
+def to_query(**values: Column) -> Column:
+    """A URL's query text of the values that aren't null, in the order given."""
+    return F.concat_ws("&", *(F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in values.items()))
+
+
+def query_value(search: Column, name: str) -> Column:
+    """The first value of a name in a URL's query text; null without one."""
+    at = rf"(?:^|[?&]){name}=([^&]*)"
+    return F.when(search.rlike(at), F.try_url_decode(F.regexp_extract(search, at, 1)))
+
+
+def from_query(search: Column) -> Column:
+    """struct<db, table, rg, col>; null without a database; rg only if it is a whole number."""
+    rg = query_value(search, "rg")
+    parts = F.struct(query_value(search, "db").alias("db"), query_value(search, "table").alias("table"), F.when(rg.rlike("^[0-9]+$"), rg.try_cast("long")).alias("rg"), query_value(search, "col").alias("col"))
+    return F.when(F.coalesce(query_value(search, "db"), F.lit("")) != "", parts)
 
 
 def parse_stats(stats: Column) -> Column:

@@ -1,36 +1,31 @@
-"""The block checksum: 64-bit words times a constant, XORed, with a hashed rest."""
+"""A block's checksum over whole words: each times a constant modulo 2 ** 64, XORed.  It combines before a shuffle."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the file format.
-SEED, FACTOR, REST_SEED, REST_FACTOR, REST_SHIFT = 5381, 0xBF58476D1CE4E5B9, 0xE17A1465, 0xC6A4A7935BD1E995, 47
-_MASK = (1 << 64) - 1
+SEED, FACTOR = 5381, 0xBF58476D1CE4E5B9
+_MASK = 0xFFFFFFFF
 
 
-def _rest(tail: bytes) -> int:
-    h = REST_SEED ^ (len(tail) * REST_FACTOR & _MASK)
-    h = (h ^ int.from_bytes(tail, "little")) * REST_FACTOR & _MASK
-    h = (h ^ h >> REST_SHIFT) * REST_FACTOR & _MASK
-    return h ^ h >> REST_SHIFT
+def _low_product(a: Column, factor: int) -> tuple[Column, Column]:
+    """a (under 2 ** 32) times a factor under 2 ** 32, as its lower and upper 32 bits; no step leaves 63 bits."""
+    near, far = a.bitwiseAND(F.lit(0xFFFF).cast("long")) * F.lit(factor).cast("long"), F.shiftright(a, 16) * F.lit(factor).cast("long")
+    lower = near + F.shiftleft(far.bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
+    return lower.bitwiseAND(F.lit(_MASK).cast("long")), F.shiftright(lower, 32) + F.shiftright(far, 16)
 
 
-def checksum(data: bytes) -> int:
-    """Fewer than eight bytes remain after whole words, so the rest is one number."""
-    words = np.frombuffer(data, "<u8", len(data) // 8)
-    folded = SEED ^ int(np.bitwise_xor.reduce(words * np.uint64(FACTOR))) if len(words) else SEED
-    return folded ^ _rest(data[len(words) * 8 :]) if len(data) % 8 else folded
+def product(word: Column) -> Column:
+    """word times FACTOR modulo 2 ** 64, as a signed long."""
+    word, mask = word.cast("long"), F.lit(_MASK).cast("long")
+    low, high = word.bitwiseAND(mask), F.shiftrightunsigned(word, 32)
+    lower, carry = _low_product(low, FACTOR & _MASK)
+    upper = carry + _low_product(low, FACTOR >> 32)[0] + _low_product(high, FACTOR & _MASK)[0]
+    return F.shiftleft(upper.bitwiseAND(mask), 32).bitwiseOR(lower)
 
 
-def checksum_of(data: Column) -> Column:
-    """The checksum as a signed 64-bit number, null for null; Arrow batches of whole values."""
-
-    def run(batch: pd.Series) -> pd.Series:
-        signed = [None if x is None else (c := checksum(bytes(x))) - (1 << 64) * (c >> 63) for x in batch]
-        return pd.Series(signed, dtype="Int64")
-
-    return F.pandas_udf(run, "long")(data)
+def checksum(word: Column) -> Column:
+    """Aggregate: the checksum of a group's words; the seed alone where all are null."""
+    return F.coalesce(F.bit_xor(product(word)), F.lit(0).cast("long")).bitwiseXOR(F.lit(SEED).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,19 +40,27 @@ def islands(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return runs.groupBy(*keys, "__run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
 
 
-def global_islands(df: DataFrame, at: str, width: int = 1 << 16) -> DataFrame:
+def global_islands(df: DataFrame, at: str, width: int = 1 << 16, levels: int = 3) -> DataFrame:
     """islands() over the whole table without bringing it to one task.
 
-    Runs are found within buckets of width numbers; only runs that touch a bucket's edge, two a bucket at most, are then
-    joined up by one window.
+    Runs are found within buckets of width numbers; only runs that touch a bucket's edge, two a bucket at most, are joined up
+    within buckets 4096 times as wide, and so on; what touches the edges of the widest is joined by one window.
     """
-    bucketed = islands(df.select(F.col(at).cast("long").alias("at"), F.floor(F.col(at) / F.lit(width)).cast("long").alias("bucket")), ["bucket"], "at")
-    edge = (F.col("first") == F.col("bucket") * width) | (F.col("last") == F.col("bucket") * width + width - 1)
-    inner = bucketed.where(~edge).select("first", "last", "n")
-    w = Window.orderBy("first")
-    chained = bucketed.where(edge).withColumn("new", F.when(F.lag("last").over(w) + 1 == F.col("first"), 0).otherwise(1))
-    chained = chained.withColumn("run", F.sum("new").over(w)).groupBy("run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    return inner.unionByName(chained.select("first", "last", "n"))
+    runs = islands(df.select(F.col(at).cast("long").alias("at"), F.floor(F.col(at) / F.lit(width)).cast("long").alias("bucket")), ["bucket"], "at")
+    done = []
+    for _ in range(levels - 1):
+        edge = (F.col("first") == F.col("bucket") * width) | (F.col("last") == F.col("bucket") * width + (width - 1))
+        done.append(runs.where(~edge).select("first", "last", "n"))
+        width <<= 12
+        runs = _chained(runs.where(edge).withColumn("bucket", F.floor(F.col("first") / F.lit(width)).cast("long")), ["bucket"])
+    return reduce(DataFrame.unionByName, done, _chained(runs, []).select("first", "last", "n"))
+
+
+def _chained(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs that follow one another without a gap, as one."""
+    w = _by(keys, "first")
+    marked = runs.withColumn("new", F.when(F.lag("last").over(w) + 1 == F.col("first"), 0).otherwise(1))
+    return marked.withColumn("run", F.sum("new").over(w)).groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("run")
 
 
 def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

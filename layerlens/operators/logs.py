@@ -17,10 +17,20 @@ def transactions(log: DataFrame, keys: list[str], at: str, commit: Column) -> Da
     return log.withColumn("txn", (F.coalesce(F.sum(F.when(commit, 1).otherwise(0)).over(before), F.lit(0)) + 1).cast("long"))
 
 
-def uncommitted(log: DataFrame, keys: list[str], at: str, commit: Column) -> DataFrame:
-    """Rows after the last commit of their log; all rows of a log without one."""
+def uncommitted(log: DataFrame, keys: list[str], at: str, commit: Column, partial: Column | None = None) -> DataFrame:
+    """Rows after the last commit of their log; all rows of a log without one.  A log read in part has no known tail."""
     last = F.max(F.when(commit, F.col(at))).over(Window.partitionBy(*keys))
-    return log.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(at) > F.col("__last"))).drop("__last")
+    read = log if partial is None else log.where(~F.coalesce(partial, F.lit(False)))
+    return read.withColumn("__last", last).where(F.col("__last").isNull() | (F.col(at) > F.col("__last"))).drop("__last")
+
+
+def replayable(logs: DataFrame, databases: DataFrame, key: str) -> DataFrame:
+    """logs (key, iteration) with `replayed` and `note`: a log written after another checkpoint than the database's isn't
+    replayed; where either is unknown, it is."""
+    both = logs.join(databases.select(key, F.col("iteration").alias("__now")), key, "left")
+    other = F.coalesce(F.col("iteration") != F.col("__now"), F.lit(False))
+    note = F.when(other, F.concat(F.lit("written after checkpoint "), F.col("iteration").cast("string"), F.lit(", the database is at "), F.col("__now").cast("string")))
+    return both.withColumn("replayed", ~other).withColumn("note", note).drop("__now")
 
 
 def replayed(log: DataFrame, keys: list[str], at: str, damaged: Column) -> DataFrame:

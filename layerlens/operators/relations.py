@@ -50,16 +50,28 @@ def best_of(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(tie, F.struct(F.col(value), -F.col(tie))).alias(tie), F.max(value).alias(value))
 
 
-def encoded(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """Dictionary encoding: df with code instead of value, and the dictionary (code, value), codes in value order.
+def encoded(df: DataFrame, value: str, letters: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Dictionary encoding of a text column: df with code instead of value, and the dictionary (code, value), codes in value
+    order.
 
-    The dictionary holds distinct values only, so it is numbered after a distinct that combines before the shuffle.
+    Distinct values are numbered within their first letters; only one row for each beginning meets in one task, for offsets.
     """
-    words = df.select(value).where(F.col(value).isNotNull()).distinct()
-    codes = words.withColumn("code", (F.row_number().over(Window.orderBy(value)) - 1).cast("long"))
+    words = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("__head", F.substring(value, 1, letters))
+    sizes = words.groupBy("__head").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    codes = words.withColumn("__at", F.row_number().over(Window.partitionBy("__head").orderBy(value)) - 1).join(sizes.withColumn("__before", before).drop("__n"), "__head")
+    codes = codes.select(value, (F.col("__before") + F.col("__at")).cast("long").alias("code"))
     return df.join(codes, value, "left").drop(value), codes
 
 
+def first_names(df: DataFrame, keys: list[str], name: str, limit: int = 8) -> DataFrame:
+    """keys, names (the first `limit` distinct ones), n (how many there are); ranks are cut in each task before the shuffle."""
+    names = df.select(*keys, name).where(F.col(name).isNotNull()).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
+    few = names.withColumn("__rank", rank).where(F.col("__rank") <= limit).groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias("names"))
+    return names.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(few, keys)
+
+
 def decoded(df: DataFrame, codes: DataFrame) -> DataFrame:
     return df.join(codes, "code", "left").drop("code")
 

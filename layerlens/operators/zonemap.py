@@ -76,3 +76,12 @@ def skippable(bound: DataFrame, keys: list[str], low: Column, high: Column) -> D
     """How many row groups a filter on [low, high] could skip by their bounds."""
     out = F.col("low").isNotNull() & ((F.col("high") < low) | (F.col("low") > high))
     return bound.groupBy(*keys).agg(F.count_if(out).alias("skipped"), F.count(F.lit(1)).alias("groups"))
+
+
+def spans(bound: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each group's bounds lie between the least and the greatest of keys, 0 to 1; null where all are equal.  The range
+    is one small row a key, joined back."""
+    whole = bound.groupBy(*keys).agg(F.min("low").alias("__low"), F.max("high").alias("__high"))
+    both = bound.join(whole, keys) if keys else bound.crossJoin(F.broadcast(whole))  # one row
+    at = lambda c: F.try_divide(F.col(c) - F.col("__low"), F.when(F.col("__high") != F.col("__low"), F.col("__high") - F.col("__low")))
+    return both.withColumn("from_share", at("low")).withColumn("to_share", at("high")).drop("__low", "__high")

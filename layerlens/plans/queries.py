@@ -259,8 +259,8 @@ def index_union(spark, sf_dir):
 SELECT s_nationkey, array_to_string(a[1:8], ', ') || CASE WHEN len(a) > 8 THEN ' and ' || (len(a) - 8) || ' more' ELSE '' END AS listed,
 CASE WHEN len(a) <= 2 AND length(array_to_string(a, ', ')) <= 32 THEN array_to_string(a, ', ') ELSE a[1] || ' +' || (len(a) - 1) END AS summary FROM n""")
 def top_with_more(spark, sf_dir):
-    names = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_name")).alias("a"))
-    return names.select("s_nationkey", text.list_names(F.col("a")).alias("listed"), text.summarize_names(F.col("a")).alias("summary"))
+    names = relations.first_names(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_name", text.LISTED)
+    return names.select("s_nationkey", text.list_names(F.col("names"), F.col("n")).alias("listed"), text.summarize_names(F.col("names"), F.col("n")).alias("summary"))
 
 
 def _fixed_sql(unit: int, digits: int) -> str:
@@ -336,9 +336,7 @@ def dictionary_decode(spark, sf_dir):
 @query("""WITH k AS (SELECT o_custkey, CAST(CAST(o_orderkey AS HUGEINT) * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS w FROM orders), x AS (SELECT o_custkey, xor(bit_xor(w), CAST(5381 AS UBIGINT)) AS v FROM k GROUP BY 1)
 SELECT o_custkey, CAST(CASE WHEN v >= 9223372036854775808 THEN CAST(v AS HUGEINT) - 18446744073709551616 ELSE CAST(v AS HUGEINT) END AS BIGINT) AS checksum FROM x""")
 def xor_checksum(spark, sf_dir):
-    little = lambda x: F.array_join(F.reverse(F.split(F.regexp_replace(F.lpad(F.hex(x), 16, "0"), "(..)(?=.)", "$1,"), ",")), "")
-    words = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(little(F.col("o_orderkey"))).alias("h"))
-    return words.select("o_custkey", checksum.checksum_of(F.unhex(F.array_join("h", ""))).alias("checksum"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(checksum.checksum(F.col("o_orderkey")).alias("checksum"))
 
 
 _LISTED = "array_to_string(list_sort(a)[1:8], ', ') || CASE WHEN len(a) > 8 THEN ' and ' || (len(a) - 8) || ' more' ELSE '' END"
@@ -491,9 +489,15 @@ def display_paths(spark, sf_dir):
     return relations.display_paths(columns, "s", "tbl", "col").drop("s")
 
 
+def _all() -> None:
+    from layerlens.plans import reports  # noqa: F401  registers its own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -1,287 +1,71 @@
-"""Database files and logs as relations: headers, metadata chains, free lists, block use and log entries.
+"""Files as relations: what there is, what it is by its first bytes, which belong together, and what is wrong with them.
 
-Files come from Spark's binaryFile reader, so any store that Spark reads will do.  Fixed-width fields are decoded by column
-expressions; only chained pointers and frames, whose places depend on what was read before, are walked in Python, a file a
-row.  Damaged files give rows that say what is wrong.
+Files come from Spark's binaryFile reader, so any store that Spark reads will do.  Listing reads no content; sniffing reads
+whole files, of at most 2 GB each, since the reader has no ranges.  The pages inside a file are another engine's format and
+aren't decoded: layout and log functions take relations that an export of that engine's catalog gives, see `catalog`.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerlens.operators.checksum import checksum, checksum_of
-from layerlens.operators.layout import BLOCK_HEADER, BLOCKS_START, HEADER, SUB_BLOCKS
+from layerlens.functions import text
 
-#: Guards against pointers that loop: sub-blocks of a listed chain, and of a free list.
-MAX_CHAIN, MAX_FREE_LIST = 256, 4096
-#: Fixed values of the log format: entry types, and those that only set context.
-ENTRY_TYPES = {
-    1: "CREATE_TABLE", 2: "DROP_TABLE", 3: "CREATE_SCHEMA", 4: "DROP_SCHEMA", 5: "CREATE_VIEW", 6: "DROP_VIEW", 8: "CREATE_SEQUENCE", 9: "DROP_SEQUENCE", 10: "SEQUENCE_VALUE", 11: "CREATE_MACRO", 12: "DROP_MACRO",
-    13: "CREATE_TYPE", 14: "DROP_TYPE", 20: "ALTER_INFO", 21: "CREATE_TABLE_MACRO", 22: "DROP_TABLE_MACRO", 23: "CREATE_INDEX", 24: "DROP_INDEX", 25: "USE_TABLE", 26: "INSERT_TUPLE", 27: "DELETE_TUPLE", 28: "UPDATE_TUPLE",
-    29: "ROW_GROUP_DATA", 98: "WAL_VERSION", 99: "CHECKPOINT", 100: "WAL_FLUSH",
-}
-FLUSH, VERSION, ENCRYPTED_LOG = 100, 98, 3
-META = (25, 98, 99, 10)
+#: Fixed values of the file formats: magic bytes, where a file's blocks start.
+DATABASE_MAGIC, DATABASE_AT, LOG_MAGIC = b"DUCK", 8, b"\x64\x00"
+BLOCKS_START = 12_288
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """file, size, content."""
-    return spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"), F.col("length").alias("size"), "content")
+def listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, size and modified of the files; their content isn't read.  The reader leaves empty files out."""
+    return spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def kind_of(content: Column) -> Column:
     """database, wal or null, by the first bytes."""
-    return F.when(F.substring(content, 9, 4) == F.lit(b"DUCK"), "database").when(F.substring(content, 1, 2) == F.lit(b"\x64\x00"), "wal")
-
-
-def little(content: Column, offset: int, size: int) -> Column:
-    """An unsigned little-endian number of up to 8 bytes, as a decimal."""
-    pairs = F.transform(F.sequence(F.lit(size - 1), F.lit(0), F.lit(-1)), lambda i: F.hex(F.substring(content, i + F.lit(offset + 1), F.lit(1))))
-    return F.conv(F.array_join(pairs, ""), 16, 10).cast("decimal(20,0)")
-
-
-def _big(x: int) -> Column:
-    return F.lit(str(x)).cast("decimal(20,0)")
-
-
-def pointer(raw: Column) -> Column:
-    """struct<block, index> of a metadata pointer: 56 bits and 8; null for -1."""
-    split = _big(1 << 56)
-    return F.when(raw != _big((1 << 64) - 1), F.struct((raw % split).cast("long").alias("block"), F.floor(raw / split).cast("int").alias("index")))
-
-
-def _c_string(content: Column, offset: int, size: int) -> Column:
-    return F.decode(F.unhex(F.regexp_extract(F.hex(F.substring(content, offset + 1, size)), "^((?:(?!00)..)*)", 1)), "UTF-8")
-
-
-def _stored(content: Column, offset: int) -> Column:
-    """The 8-byte checksum at offset as a signed number."""
-    raw = little(content, offset, 8)
-    return F.when(raw >= _big(1 << 63), raw - _big(1 << 64)).otherwise(raw).cast("long")
-
-
-def main_header(files: DataFrame) -> DataFrame:
-    """One row a file: error (cut off, no magic) or the main header's fields."""
-    c = F.col("content")
-    magic = F.substring(c, 9, 4) == F.lit(b"DUCK")
-    error = F.when((F.col("size") < BLOCKS_START) & magic, F.concat(F.lit("headers cut off after "), F.col("size").cast("string"), F.lit(" bytes")))
-    error = error.when(F.col("size") < BLOCKS_START, F.concat(F.lit("too short for headers: "), F.col("size").cast("string"), F.lit(" bytes"))).when(~magic, "not a database file: magic missing")
-    ok = error.isNull()
-    only = lambda x: F.when(ok, x)
-    own = checksum_of(F.substring(c, BLOCK_HEADER + 1, HEADER - BLOCK_HEADER))
-    return files.select(
-        "file", "size", error.alias("error"), only(own == _stored(c, 0)).alias("checksum_ok"), only(little(c, 12, 8)).alias("storage_version"),
-        only(F.array(*(little(c, 20 + 8 * i, 8) for i in range(4)))).alias("flags"), only(little(c, 20, 8) % 2 == 1).alias("encrypted"),
-        only(_c_string(c, 52, 32)).alias("library_version"), only(_c_string(c, 84, 32)).alias("source_id"),
-    )
-
-
-def database_headers(files: DataFrame) -> DataFrame:
-    """Two rows a readable file: slot, offset, checksum_ok, fields, and whether it is the active one (slot 0 wins ties)."""
-    c = F.col("content")
-
-    def slot(i: int) -> DataFrame:
-        at = HEADER * (i + 1)
-        names = ("iteration", "meta", "free", "block_count", "alloc", "vector_size", "compatibility")
-        raw = {n: little(c, at + 8 * (k + 1), 8) for k, n in enumerate(names)}
-        fields = [pointer(x).alias(f"{n}_pointer") if n in ("meta", "free") else x.cast("long").alias(n) for n, x in raw.items()]
-        return files.where((F.col("size") >= BLOCKS_START) & (kind_of(c) == "database")).select("file", F.col("size").alias("file_size"), F.lit(i).alias("slot"), F.lit(at).alias("offset"), (checksum_of(F.substring(c, at + BLOCK_HEADER + 1, HEADER - BLOCK_HEADER)) == _stored(c, at)).alias("checksum_ok"), *fields)
-
-    both = slot(0).unionByName(slot(1))
-    best = both.groupBy("file").agg(F.max_by("slot", F.struct("iteration", -F.col("slot"))).alias("best"))
-    return both.join(best, "file").withColumn("active", F.col("slot") == F.col("best")).drop("best")
-
+    magic = F.substring(content, DATABASE_AT + 1, len(DATABASE_MAGIC)) == F.lit(DATABASE_MAGIC)
+    return F.when(magic, "database").when(F.substring(content, 1, len(LOG_MAGIC)) == F.lit(LOG_MAGIC), "wal")
 
-def _sub_start(alloc: int, block: int, index: int) -> int:
-    return BLOCKS_START + block * alloc + BLOCK_HEADER + index * ((alloc - BLOCK_HEADER) // SUB_BLOCKS // 8 * 8)
 
+def sniffed(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, size and kind."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    return files.select(F.col("path").alias("file"), F.col("length").alias("size"), kind_of(F.col("content")).alias("kind"))
 
-def _walk(content: bytes, alloc: int, blocks: int, block: int, index: int, most: int) -> tuple[list[tuple[int, int]], str | None]:
-    """The sub-blocks a pointer leads through, and why the walk ended early."""
-    hops: list[tuple[int, int]] = []
-    seen = set()
-    while True:
-        if (block, index) in seen:
-            return hops, f"cycle at {block}.{index}"
-        if len(hops) >= most:
-            return hops, f"over {most} hops"
-        if block >= blocks or index >= SUB_BLOCKS:
-            return hops, f"pointer {block}.{index} out of range"
-        at = _sub_start(alloc, block, index)
-        if at + 8 > len(content):
-            return hops, f"pointer {block}.{index} beyond the end"
-        seen.add((block, index))
-        hops.append((block, index))
-        (raw,) = struct.unpack_from("<Q", content, at)
-        if raw == (1 << 64) - 1:
-            return hops, None
-        block, index = raw & ((1 << 56) - 1), raw >> 56
 
+def picked(files: DataFrame, keys: list[str], name: str = "name", at: str = "at") -> DataFrame:
+    """keys, database, log of each selection: the first file that isn't a log by its name; the log beside it, else the first.
 
-def chains(files: DataFrame) -> DataFrame:
-    """file, slot, kind (catalog, freeList), hop, block, index, error: the metadata chains of both headers.
-
-    A chain that can't be followed to its end has its error in every row, and one row at least.
+    Null where there is none; `at` orders a selection.
     """
+    is_log = F.col(name).endswith(".wal")
+    first = lambda hit: F.min_by(F.when(hit, F.col(name)), F.when(hit, F.col(at)))
+    bases = files.groupBy(*keys).agg(first(~is_log).alias("database"), first(is_log).alias("any_log"))
+    beside = files.join(bases.select(*keys, "database"), keys).where(F.col(name) == F.concat("database", F.lit(".wal"))).select(*keys, F.col(name).alias("beside")).distinct()
+    return bases.join(beside, keys, "left").select(*keys, "database", F.coalesce("beside", "any_log").alias("log"))
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                hops, error = _walk(bytes(r.content), int(r.alloc), int(r.block_count), int(r.block), int(r.index_), MAX_CHAIN)
-                rows += [(r.file, r.slot, r.kind, k, b, i, error) for k, (b, i) in enumerate(hops)] or [(r.file, r.slot, r.kind, None, None, None, error)]
-            yield pd.DataFrame(rows, columns=["file", "slot", "kind", "hop", "block", "index", "error"]).astype({"hop": "Int64", "block": "Int64", "index": "Int64"})
-
-    heads = database_headers(files)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{c}_pointer").alias("p")) for k, c in (("catalog", "meta"), ("freeList", "free")))))
-    starts = heads.select("file", "slot", "alloc", "block_count", each.alias("x")).where("x.p is not null").select("file", "slot", "alloc", "block_count", "x.kind", F.col("x.p.block").alias("block"), F.col("x.p.index").alias("index_"))
-    return starts.join(files.select("file", "content"), "file").mapInPandas(run, "file string, slot int, kind string, hop long, block long, index long, error string")
-
-
-def block_usage(files: DataFrame) -> DataFrame:
-    """file, kind (free, shared), block, uses, error: the active header's free list; values may straddle sub-blocks."""
-
-    def entries(content: bytes, alloc: int, blocks: int, block: int, index: int) -> Iterator[tuple[str, int, int | None]]:
-        hops, error = _walk(content, alloc, blocks, block, index, MAX_FREE_LIST)
-        size = (alloc - BLOCK_HEADER) // SUB_BLOCKS // 8 * 8
-        data = b"".join(content[(at := _sub_start(alloc, b, i)) + 8 : at + size] for b, i in hops)
-        pos = 0
-
-        def take(form: str) -> int:
-            nonlocal pos
-            n = struct.calcsize(form)
-            if pos + n > len(data):
-                raise ValueError(error or "free list incomplete")
-            (value,) = struct.unpack_from(form, data, pos)
-            pos += n
-            return value
-
-        for kind in ("free", "shared"):
-            n = take("<Q")
-            if n > blocks:
-                raise ValueError(f"free list count {n} exceeds {blocks} blocks")
-            for _ in range(n):
-                b = take("<q")
-                uses = take("<I") if kind == "shared" else None
-                if not 0 <= b < blocks:
-                    raise ValueError(f"free list entry {b} out of range")
-                yield kind, b, uses
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                try:
-                    own = [(r.file, k, b, u, None) for k, b, u in entries(bytes(r.content), int(r.alloc), int(r.block_count), int(r.block), int(r.index_))]
-                except ValueError as e:
-                    own = [(r.file, None, None, None, str(e))]
-                rows += own
-            yield pd.DataFrame(rows, columns=["file", "kind", "block", "uses", "error"]).astype({"block": "Int64", "uses": "Int64"})
-
-    heads = database_headers(files).where("active and free_pointer is not null").select("file", "alloc", "block_count", F.col("free_pointer.block").alias("block"), F.col("free_pointer.index").alias("index_"))
-    return heads.join(files.select("file", "content"), "file").mapInPandas(run, "file string, kind string, block long, uses long, error string")
 
+def problems(files: DataFrame) -> DataFrame:
+    """files with `problems`, an array of texts, empty for a sound file.
 
-def block_use(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """file, block, used: payload bytes up to the last that isn't zero.  blocks: file, block."""
-    heads = database_headers(files).where("active").select("file", "alloc")
-    start = F.lit(BLOCKS_START + BLOCK_HEADER + 1) + F.col("block") * F.col("alloc")
-    own = blocks.join(heads, "file").join(files.select("file", "content"), "file").select("file", "block", F.substring(F.col("content"), start.cast("int"), (F.col("alloc") - BLOCK_HEADER).cast("int")).alias("payload"))
-    used = lambda batch: pd.Series([len(bytes(x).rstrip(b"\0")) for x in batch], dtype="int64")
-    return own.select("file", "block", F.pandas_udf(used, "long")("payload").alias("used"))
-
-
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        value |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            return value, at
-
-
-def frames(content: bytes, size: int | None = None) -> tuple[int | None, list[tuple[int, int, int, str | None]]]:
-    """A log's version and its entries as (start, end, type, problem); type -1 where it can't be read.
-
-    The first entry has no frame.  The others follow a size and a checksum of 8 bytes each.  Nothing after the first damaged
-    entry is read.  Of a log read in part, size being the whole one's, an entry cut by the limit isn't damage.
+    files: size, alloc, block_count, checksum_ok, opened, message; nulls are unknown and no problem.
     """
-    partial = size is not None and len(content) < size
-    if not content:
-        return None, []
-    try:
-        fields, at = {}, 0
-        while (field := struct.unpack_from("<H", content, at)[0]) != 0xFFFF:
-            at += 2
-            if field == 102:
-                n, at = _varint(content, at)
-                for _ in range(n):
-                    fields[field], at = _varint(content, at)
-            else:
-                fields[field], at = _varint(content, at)
-        at += 2
-        if fields.get(100) != VERSION or 101 not in fields:
-            raise ValueError
-    except (struct.error, IndexError, ValueError):
-        return None, [(0, len(content), -1, "unreadable: log header missing")]
-    out: list[tuple[int, int, int, str | None]] = [(0, at, VERSION, None)]
-    version = fields[101]
-    while version != ENCRYPTED_LOG and at < len(content):
-        left = len(content) - at
-        if left < 16:
-            if not partial:
-                out.append((at, len(content), -1, f"truncated: {left} bytes left, a frame needs 16"))
-            break
-        length, stored = struct.unpack_from("<QQ", content, at)
-        end = at + 16 + length
-        if end > len(content) and partial:
-            break
-        payload, problem = content[at + 16 : end], None
-        if end > len(content):
-            problem = f"truncated: {left - 16} of {length} bytes present"
-        elif checksum(payload) != stored:
-            problem = "checksum mismatch"
-        kind = _varint(payload, 2)[0] if len(payload) > 2 and payload[:2] == b"\x64\0" else -1
-        out.append((at, min(end, len(content)), kind, problem))
-        at = min(end, len(content))
-        if problem:
-            if at < len(content):
-                out.append((at, len(content), -1, "behind damage: never replayed"))
-            break
-    return version, out
-
-
-def log_entries(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """file, index, start, end, type, type_name, category, problem, version of each log's entries."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for name, content in zip(frame["file"], frame["content"], strict=True):
-                data = bytes(content)
-                version, found = frames(data[:max_bytes], len(data))
-                rows += [(name, i, a, b, t, ENTRY_TYPES.get(t, "UNREADABLE" if t < 0 else f"TYPE_{t}"), p, version) for i, (a, b, t, p) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["file", "index", "start", "end", "type", "type_name", "problem", "version"]).astype({"version": "Int64"})
+    expected = BLOCKS_START + F.col("block_count") * F.col("alloc")
+    whole = F.greatest(F.lit(0), F.floor((F.col("size") - BLOCKS_START) / F.col("alloc"))).cast("long")
+    cut = F.when(F.col("size") < expected, F.concat(F.lit("cut off: "), whole.cast("string"), F.lit(" of "), text.plural(F.col("block_count"), "block"), F.lit(" are whole")))
+    torn = F.when(~F.col("checksum_ok"), "the active header fails its checksum")
+    shut = F.when(~F.col("opened"), F.concat(F.lit("the catalog can't be read: "), F.coalesce("message", F.lit("no reason given"))))
+    return files.withColumn("problems", F.array_compact(F.array(cut, torn, shut)))
 
-    entries = files.select("file", "content").mapInPandas(run, "file string, index long, start long, end long, type int, type_name string, problem string, version long")
-    category = F.when(F.col("type") == FLUSH, "commit").when(F.col("type").between(26, 29), "data").when(F.col("type").isin(*META), "meta").otherwise("catalog")
-    return entries.withColumn("category", category)
 
+def out_of_range(blocks: DataFrame) -> DataFrame:
+    """blocks (block, block_count) with `problem` for numbers that the file has no block for; null where all is well."""
+    bad = F.col("block").isNull() | (F.col("block") < 0) | (F.col("block") >= F.col("block_count"))
+    return blocks.withColumn("problem", F.when(bad, F.concat(F.lit("no block "), F.coalesce(F.col("block").cast("string"), F.lit("null")), F.lit(" of "), F.col("block_count").cast("string"))))
 
-def log_transactions(entries: DataFrame) -> DataFrame:
-    """entries with txn, and with the problem of what no commit follows."""
-    from layerlens.operators import logs
 
-    commit = (F.col("type") == FLUSH) & F.col("problem").isNull()
-    numbered = logs.transactions(entries, ["file"], "index", commit)
-    pending = logs.uncommitted(entries, ["file"], "index", commit).where(F.col("type") != VERSION).select("file", "index", F.lit(True).alias("pending"))
-    out = numbered.join(pending, ["file", "index"], "left")
-    lost = F.when(F.col("pending"), "not committed: dropped on replay")
-    return out.withColumn("problems", F.array_compact(F.array("problem", lost))).drop("pending", "problem")
+def error_kind(message: Column, not_a_database: Column) -> Column:
+    """cut off, not a database, unreachable, too new or other, by an error's text and whether the format check raised it."""
+    cut = message.startswith("the file is cut off")
+    return F.when(not_a_database & cut, "cut off").when(not_a_database, "not a database").when(message.rlike("(?i)fetch"), "unreachable").when(message.rlike("(?i)newer version of DuckDB|storage version"), "too new").otherwise("other")

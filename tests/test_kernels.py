@@ -12,10 +12,31 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
-def test_checksum_matches_words():
-    assert checksum.checksum(b"") == 5381
-    assert checksum.checksum((1).to_bytes(8, "little")) == 5381 ^ 0xBF58476D1CE4E5B9
-    assert checksum.checksum(b"abc") != checksum.checksum(b"abd")
+def test_checksum_matches_words(spark):
+    words = [0, 1, 2, 12_345_678_901, (1 << 63) - 1, -1, -(1 << 63), -987_654_321]
+    signed = lambda x: (x & ((1 << 64) - 1)) - (1 << 64) * ((x >> 63) & 1)
+    got = {r.w: r.p for r in spark.createDataFrame([(w,) for w in words], "w long").select("w", checksum.product(F.col("w")).alias("p")).collect()}
+    assert got == {w: signed(w * checksum.FACTOR) for w in words}
+    folded = checksum.SEED
+    for w in words:
+        folded ^= signed(w * checksum.FACTOR)
+    assert spark.createDataFrame([(w,) for w in [*words, None]], "w long").agg(checksum.checksum(F.col("w"))).first()[0] == folded
+
+
+def test_numbers_of_six_digits(spark):
+    values = {"0.1": "0.1", "123456.789": "123457", "1234567.5": "1234570", "-0.0": "0", "3.0": "3", "1e-7": "1e-7", "2.5e22": "25,000,000,000,000,000,000,000", "0.000012345678": "0.0000123457", "nan": "nan", None: "–"}
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.format_value(F.col("v"), F.lit("float")).alias("x")).collect()
+    assert {r.v: r.x for r in rows} == values
+
+
+def test_large_shares(spark):
+    assert one(spark, text.percent(F.lit(1 << 61), F.lit((1 << 62) + 1)), text.percent(F.lit(1), F.lit(0)), text.percent(F.lit(0), F.lit(5))) == ("50.0%", "0.0%", "0.00%")
+
+
+def test_files_of_many_blocks(spark):
+    files = spark.createDataFrame([("a", 3), ("b", 200_001), ("c", 0)], "file string, n long")
+    got = layout.block_numbers(files, F.lit(0), F.col("n") - 1).groupBy("file").agg(F.count("*"), F.min("block"), F.max("block"), F.countDistinct("block"))
+    assert rows(got, "file") == [("a", 3, 0, 2, 3), ("b", 200_001, 0, 200_000, 200_001)]
 
 
 def test_dates_times_and_values(spark):
@@ -41,7 +62,8 @@ def test_nulls_and_empty_tables(spark):
 
 def test_islands_cross_buckets(spark):
     ids = spark.createDataFrame([(x,) for x in [*range(5, 40), 50, 51, 64, 100, 100]], "x long")
-    assert rows(intervals.global_islands(ids, "x", 16), "first") == [(5, 39, 35), (50, 51, 2), (64, 64, 1), (100, 100, 1)]
+    for levels in (1, 2, 3):
+        assert rows(intervals.global_islands(ids, "x", 16, levels), "first") == [(5, 39, 35), (50, 51, 2), (64, 64, 1), (100, 100, 1)]
 
 
 def test_layout_of_a_file(spark):
