@@ -195,7 +195,7 @@ def format_value(value: Column, kind: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(F.replace(cut, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     grouped = F.when(value.rlike("^-?0+$"), "0").otherwise(F.format_number(value.try_cast("decimal(38,0)"), 0))
     number = value.try_cast("double")
-    real = F.when(number == 0, "0").when(number == F.floor(number), F.format_number(value.try_cast("decimal(38,0)"), 0)).otherwise(_digits(number, 6))
+    real = F.when(number == 0, "0").when(number == F.rint(number), F.format_number(value.try_cast("decimal(38,0)"), 0)).otherwise(_digits(number, 6))
     time = F.regexp_replace(value, r"(:00)?\.000$", "")
     return F.when(value.isNull(), "–").when(kind == "integer", grouped).when(kind == "float", F.coalesce(real, value)).when(kind == "time", time).when(kind == "text", quoted).otherwise(value)
 
