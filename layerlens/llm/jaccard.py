@@ -296,9 +296,13 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     width = filter_bits(shared.count())
     some = spark.sparkContext.broadcast(membership(shared, "token", width))
     posts = work.table(_some_tokens(prefixes, some, width).join(shared, "token", "left_semi"), "posts")
-    signatures = work.table(prefixes.select("id", "signature"), "signatures")
+    signatures = work.table(prefixes.select("id", "size", "signature"), "signatures")
     work.drop("prefixes", "shared")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        side = lambda x: signatures.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("_a", "_b", percent)).select("a", "b")
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = work.table(pairs, f"{name}-pairs")
         whole = tokens(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), True, f"{name}-tokens")
@@ -306,8 +310,8 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         work.drop(f"{name}-pairs", f"{name}-tokens")
         return links
 
-    links = linked(_star(posts, percent), "star")
-    rest = work.table(_mixed_tokens(posts, components(links, work)).join(signatures, "id"), "rest")
+    links = linked(alike(_star(posts, percent)), "star")
+    rest = work.table(_mixed_tokens(posts, components(links, work)).join(signatures.drop("size"), "id"), "rest")
     work.drop("posts", "signatures")
     label = components(links.unionByName(linked(_pairs(rest, percent), "rest")), work)
 
