@@ -157,14 +157,19 @@ def _tokens(docs: DataFrame, wanted, wanted_bits: int, n: int, percent: int, bit
     return rows.mapInPandas(build, f"id long, size int, {arrays}")
 
 
+def _by_tokens(frame: pd.DataFrame, limit: int = 500_000) -> Iterator[pd.DataFrame]:
+    """frame in parts that hold about so many tokens of their prefixes, a row at least: what a task unrolls at a time."""
+    part = frame["first"].map(len).cumsum().to_numpy(np.int64) // limit
+    for k in np.unique(part):
+        yield frame.iloc[np.searchsorted(part, k) : np.searchsorted(part, k, side="right")]
+
+
 def _some_tokens(prefixes: DataFrame, shared, shared_bits: int) -> DataFrame:
     """The places (id, size, at, token) of prefixes whose token may be shared."""
 
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in chain.from_iterable(map(_by_tokens, frames)):
             counts = frame["first"].map(len).to_numpy(np.int64)
-            if not counts.sum():
-                continue
             token = np.concatenate(frame["first"].to_numpy())
             keep = may_hold(shared.value, (token.view(np.uint64) >> np.uint64(64 - shared_bits)).astype(np.int64))
             row = np.repeat(np.arange(len(frame)), counts)[keep]
