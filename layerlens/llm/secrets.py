@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,39 +90,56 @@ SCORED = 10_000
 
 @dataclass
 class Pair:
-    """A name bound to an expression in a scope."""
+    """A name bound to an expression in a scope, given by the scope's number."""
 
     name: str
-    scope: tuple[int, ...]
+    scope: int
     parts: list[Part]
 
 
 class Scopes:
-    """Blocks by braces and by indentation: a path of the blocks that are open, each with a number of its own."""
+    """Blocks by braces and by indentation, numbered as they open, 0 being the whole text.
+
+    The blocks within a block are numbered from its own number on, up to last[number].
+    """
 
     def __init__(self, text: str):
         margin = len(text) - len(text.lstrip(" \t"))
         self.open: list[tuple[int, int]] = []  # indentation (-1: a brace), number
-        self.made, self.margin = 0, margin
+        self.last, self.margin = [0], margin
+
+    def _begin(self, width: int) -> None:
+        self.open.append((width, len(self.last)))
+        self.last.append(0)
+
+    def _end(self) -> int:
+        width, number = self.open.pop()
+        self.last[number] = len(self.last) - 1
+        return width
 
     def _indent(self, width: int) -> None:
         while self.open and self.open[-1][0] > width:
-            self.open.pop()
+            self._end()
         if width > (self.open[-1][0] if self.open else self.margin) and not (self.open and self.open[-1][0] < 0):
-            self.made += 1
-            self.open.append((width, self.made))
+            self._begin(width)
 
-    def read(self, gap: str) -> tuple[int, ...]:
+    def read(self, gap: str) -> int:
+        """The innermost block that is open after gap."""
         for m in _LINE.finditer(gap):
             if m[0] == "{":
-                self.made += 1
-                self.open.append((-1, self.made))
+                self._begin(-1)
             elif m[0] == "}":
-                while self.open and self.open.pop()[0] >= 0:
+                while self.open and self._end() >= 0:
                     pass
             else:
                 self._indent(len(m[1].expandtabs(4)))
-        return tuple(number for _, number in self.open)
+        return self.open[-1][1] if self.open else 0
+
+    def close(self) -> list[int]:
+        while self.open:
+            self._end()
+        self.last[0] = len(self.last) - 1
+        return self.last
 
 
 def _parts(text: str, start: int, end: int, refers: bool, escapes: bool) -> list[Part]:
@@ -169,9 +184,9 @@ def _value(text: str, at: int, entry: bool) -> tuple[list[Part], int]:
         at = j.end()
 
 
-def pairs(text: str) -> list[Pair]:
-    """The name-literal pairs of source code and configuration, in the order of the text."""
-    out, scopes, at, done = [], Scopes(text), 0, 0
+def pairs(text: str) -> tuple[list[Pair], list[int]]:
+    """The name-literal pairs of source code and configuration, in the order of the text, and the ends of its scopes."""
+    out, scopes, at, done, line, seen = [], Scopes(text), 0, 0, 0, 0
     while m := _LEX.search(text, at):
         at = max(m.end(), at + 1)
         scope, done = scopes.read(text[done : m.start()]), m.start()
@@ -182,34 +197,42 @@ def pairs(text: str) -> list[Pair]:
         elif m["attr"] is not None:
             out.append(Pair(m["attr"], scope, _parts(text, *m.span("given"), refers=True, escapes=False)))
         else:
-            line = text.rfind("\n", 0, m.start()) + 1
+            line, seen = max(line, text.rfind("\n", seen, m.start()) + 1), m.start()
             parts, end = _value(text, m.end(), bool(_ENTRY.fullmatch(text, line, m.start())))
             if parts:
                 out.append(Pair(m["name"], scope, parts))
                 at = done = max(at, end)
-    return out
+    return out, scopes.close()
 
 
 def _plain(name: str) -> str:
     return name.removeprefix("self.").removeprefix("this.")
 
 
-def _links(every: list[Pair]) -> list[list[int | None]]:
-    """For each pair's parts, the pair that the part's name is bound by: the latest one before it of that name in an open
-    block, else the first one after it."""
-    bound: dict[str, list[int]] = {}
-    for i, p in enumerate(every):
-        bound.setdefault(_plain(p.name), []).append(i)
+def _nearest(every: list[Pair], last: list[int], order: Iterable[int]) -> dict[tuple[int, str], int]:
+    """(pair, name) -> the pair of that name passed last, in an open block, when going through the pairs in order.
+
+    A block left in either direction isn't entered again, so what stands in it is dropped for good.
+    """
+    passed: dict[str, list[int]] = {}
+    out: dict[tuple[int, str], int] = {}
+    for i in order:
+        scope = every[i].scope
+        for *_, r in every[i].parts:
+            if r is not None and (places := passed.get(_plain(r))):
+                while places and not every[places[-1]].scope <= scope <= last[every[places[-1]].scope]:
+                    places.pop()
+                if places:
+                    out[i, r] = places[-1]
+        passed.setdefault(_plain(every[i].name), []).append(i)
+    return out
 
-    def binding(name: str, at: int) -> int | None:
-        places, open_ = bound.get(_plain(name), []), every[at].scope
-        k = bisect_left(places, at)
-        for i in chain(map(places.__getitem__, range(k - 1, -1, -1)), map(places.__getitem__, range(k, len(places)))):
-            if i != at and every[i].scope == open_[: len(every[i].scope)]:
-                return i
-        return None
 
-    return [[None if r is None else binding(r, i) for *_, r in p.parts] for i, p in enumerate(every)]
+def _links(every: list[Pair], last: list[int]) -> list[list[int | None]]:
+    """For each pair's parts, the pair that the part's name is bound by: the latest one before it of that name in an open
+    block, else the first one after it."""
+    before, after = (_nearest(every, last, order) for order in (range(len(every)), range(len(every) - 1, -1, -1)))
+    return [[None if r is None else before.get((i, r), after.get((i, r))) for *_, r in p.parts] for i, p in enumerate(every)]
 
 
 def _values(every: list[Pair], links: list[list[int | None]]) -> list[str]:
@@ -241,11 +264,11 @@ def assigned_literals(text: str) -> list[tuple[int, int, float]]:
     low = text.lower()
     if not any(x in low for x in _HINTS) or not any(x in text for x in "=:>"):
         return []
-    every = pairs(text)
+    every, last = pairs(text)
     targets = [(name, i) for i, p in enumerate(every) if (name := name_score(p.name)) >= THRESHOLD]
     if not targets:
         return []
-    links = _links(every)
+    links = _links(every, last)
     values = _values(every, links)
     found: dict[tuple[int, int], float] = {}
     reached: set[int] = set()

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -590,3 +591,23 @@ def test_toxicity_never_sees_held_out_labels(spark, tmp_path):
 
 def test_area_under_the_curve():
     assert toxicity._area({(0, 0): 3, (1, 1): 2}) == 1.0 and toxicity._area({(0, 0): 2, (0, 1): 2}) == 0.5 and toxicity._area({(1, 1): 2}) == 0.5
+
+
+def test_names_are_bound_in_open_blocks():
+    rng, bits = np.random.default_rng(3), ["a = ", "b: ", '"xyz" + a', "b", "a", "\n", "\n  ", "\n    ", "{", "}", ";"]
+    for _ in range(500):
+        every, last = secrets.pairs("".join(rng.choice(bits, 40)))
+        open_ = lambda j, i: every[j].scope <= every[i].scope <= last[every[j].scope]  # noqa: B023, E731
+
+        def bound(name, i):
+            same = [j for j, p in enumerate(every) if p.name == name and j != i and open_(j, i)]  # noqa: B023
+            return max((j for j in same if j < i), default=min(same, default=None))
+
+        assert secrets._links(every, last) == [[None if r is None else bound(r, i) for *_, r in p.parts] for i, p in enumerate(every)]
+
+
+@pytest.mark.parametrize("text", ["token = 1\n" + "{id:id}," * 50_000, "token:" + '{"a":b,"x":' * 50_000, "token=1;" + "a=5;" * 50_000], ids=["side by side", "nested", "one line"])
+def test_many_blocks_take_time_in_proportion(text):
+    began = time.perf_counter()
+    secrets.find_secrets(text)
+    assert time.perf_counter() - began < 30
