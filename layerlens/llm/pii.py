@@ -29,15 +29,40 @@ _TERMS = "array<struct<start:int,end:int,term:string,disclosure:double,general:s
 BEGINNINGS = (4, 3, 2, 1)
 
 
+#: Elements of a block of running().
+BLOCK = 256
+
+
+def running(steps: Column, block: int = BLOCK) -> Column:
+    """For each element of an int array the sum of those before it.
+
+    A fold that collects copies what it has at every step, so the sums are taken within blocks and then over the blocks.
+    """
+
+    def ahead(x: Column) -> Column:  # one element more than x: its sum
+        return F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+
+    def summed(own: Column) -> Column:
+        before = ahead(F.transform(own, lambda x: F.element_at(x, -1)))
+        return let(before, lambda at: F.flatten(F.transform(own, lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + F.get(at, k)))))
+
+    def blocks(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(x) - 1, F.lit(block))
+        return let(F.transform(starts, lambda i: ahead(F.slice(x, i + 1, block))), summed)
+
+    return let(steps, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(F.array().cast("array<int>")))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the pattern's matches in text, in code points from 0, end exclusive."""
 
     def placed(found: Column) -> Column:
+        def spans(gaps: Column, before: Column) -> Column:
+            start = lambda i: F.get(before, i) + F.length(F.get(gaps, i))
+            return F.transform(found, lambda f, i: F.struct(start(i).alias("start"), (start(i) + F.length(f)).alias("end"), f.alias("value")))
+
         def walked(gaps: Column) -> Column:
-            start = lambda a, i: a["at"] + F.length(F.get(gaps, i))
-            step = lambda a, i: let(start(a, i), lambda s: F.struct((s + F.length(F.get(found, i))).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), (s + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value")))).alias("out")))
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
+            return let(running(F.transform(found, lambda f, i: F.length(f) + F.length(F.get(gaps, i)))), lambda before: spans(gaps, before))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), walked)).otherwise(F.array().cast(_SPANS))
 
@@ -84,25 +109,16 @@ def terms_of(text: Column) -> Column:
 
 def occurrences(text: Column, told: Column, base: Column) -> Column:
     """array<struct<start, end, term, disclosure, general>>: every place of the terms of told that touches no span of base."""
-    terms = F.transform(told, lambda x: x["term"])
     clear = lambda begin, end: ~F.exists(base, lambda b: (b["start"] < end) & (begin < b["end"]))
 
-    def walked(found: Column, gaps: Column, terms: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            def at(p: Column) -> Column:
-                known = F.get(told, F.array_position(terms, p["term"]).cast("int") - 1)
-                put = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["term"].alias("term"), known["disclosure"].alias("disclosure"), known["general"].alias("general"))
-                hit = F.array_contains(terms, p["term"]) & clear(p["start"], p["end"])
-                return F.struct(p["end"].alias("at"), F.when(hit, F.concat(a["out"], F.array(put))).otherwise(a["out"]).alias("out"))
-
-            start = a["at"] + F.length(F.get(gaps, i))
-            return let(F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.lower(F.get(found, i)).alias("term")), at)
+    def told_of(spans: Column, terms: Column) -> Column:
+        def put(p: Column) -> Column:
+            known = F.get(told, F.array_position(terms, F.lower(p["value"])).cast("int") - 1)
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lower(p["value"]).alias("term"), known["disclosure"].alias("disclosure"), known["general"].alias("general"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
+        return F.transform(F.filter(spans, lambda p: F.array_contains(terms, F.lower(p["value"])) & clear(p["start"], p["end"])), put)
 
-    none = F.array().cast(_TERMS)
-    return let(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda f: F.when(F.size(f) > 0, let(F.split(text, TERM, -1), lambda g: let(terms, lambda t: walked(f, g, t)))).otherwise(none))
+    return let(F.transform(told, lambda x: x["term"]), lambda terms: told_of(match_spans(text, TERM), terms)).cast(_TERMS)
 
 
 def disclosures(work: Scratch, found: DataFrame, docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, prior: float = PRIOR) -> DataFrame:

@@ -611,3 +611,12 @@ def test_many_blocks_take_time_in_proportion(text):
     began = time.perf_counter()
     secrets.find_secrets(text)
     assert time.perf_counter() - began < 30
+
+
+def test_spans_of_a_long_text(spark):
+    text = "é " + "".join(f"at 10.{i % 200}.3.{i % 99} \U0001f600 and " for i in range(10_000))
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, "10.0.0.1")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.s] for r in rows.select("doc_id", pii.match_spans(F.col("text"), pii.PATTERNS["ip"]).alias("s")).collect()}
+    assert got == {1: [(*m.span(), m[0]) for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text)], 2: [], 3: [(0, 8, "10.0.0.1")]}
+    sums = spark.range(1).select(pii.running(F.sequence(F.lit(1), F.lit(1000)), 7).alias("s"), pii.running(F.array().cast("array<int>")).alias("none")).first()
+    assert sums.s == [i * (i + 1) // 2 for i in range(1000)] and sums.none == []
